@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import encode_texts
 from .minhash import MinHashOptions, near_duplicates
 
 
@@ -17,8 +18,22 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), MinHashOptions(width=3, percent=85))
 
 
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = encode_texts(_table(spark, sf_dir, "documents"), vocabulary_path(), with_ids=False)
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash_dedup": op1_minhash_dedup}
+    return {
+        "op1_minhash_dedup": op1_minhash_dedup,
+        "op4_bpe": op4_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
