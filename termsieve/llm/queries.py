@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encode_texts
 from .minhash import MinHashOptions, near_duplicates
+from .secret_scan import digest as secret_digest
+from .secret_scan import find_secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +20,10 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), MinHashOptions(width=3, percent=85))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def vocabulary_path() -> str:
     import public_tokenizers
 
@@ -32,6 +38,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
+        "op3_secret_scan": op3_secret_scan,
         "op4_bpe": op4_bpe,
     }
 
