@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import nearest
 from .bpe import encode_texts
 from .chat import digest as chat_digest
 from .chat import format_conversations
+from .embed_dedup import embedding_duplicates
 from .minhash import MinHashOptions, near_duplicates
 from .mixing import mix
 from .secret_scan import digest as secret_digest
@@ -47,18 +49,29 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
         "op2_chat_format": op2_chat_format,
         "op3_secret_scan": op3_secret_scan,
         "op4_bpe": op4_bpe,
+        "op6_ann": op6_ann,
         "op7_mix": op7_mix,
+        "op9_embedding_dedup": op9_embedding_dedup,
     }
 
 
