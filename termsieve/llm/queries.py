@@ -11,6 +11,7 @@ from .bpe import encode_texts
 from .chat import digest as chat_digest
 from .chat import format_conversations
 from .embed_dedup import embedding_duplicates
+from .langid import fit, held_out, predict
 from .minhash import MinHashOptions, near_duplicates
 from .mixing import mix
 from .secret_scan import digest as secret_digest
@@ -63,6 +64,13 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit(docs.where(~held_out()))
+    out = predict(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
@@ -72,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_ann": op6_ann,
         "op7_mix": op7_mix,
         "op9_embedding_dedup": op9_embedding_dedup,
+        "op10_langid": op10_langid,
     }
 
 
