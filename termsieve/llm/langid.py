@@ -95,14 +95,19 @@ def train(texts: list[str], labels: list[str], o: LangOptions) -> LangModel:
     y = np.array([languages.index(x) for x in labels])
     bags = [np.concatenate(ngrams(fold(np.frombuffer(t.encode("utf-8", "replace"), np.uint8)), o)) for t in texts]
     rng = np.random.default_rng(o.seed)
+    # Short texts are learned from short pieces.
+    pieces = [np.concatenate(ngrams(fold(np.frombuffer(t[:40].encode("utf-8", "replace"), np.uint8)), o)) for t in texts]
     emb = rng.normal(0, 1 / o.dimensions, (o.buckets, o.dimensions))
     layer = np.zeros((o.dimensions, len(languages)))
     bias = np.zeros(len(languages))
     keep = [i for i in range(len(bags)) if i % 5 and len(bags[i])]
     for epoch in range(o.epochs):
         rate = o.rate * (1 - epoch / o.epochs)
-        for i in rng.permutation(keep):
-            ids, counts = np.unique(bags[i], return_counts=True)
+        for i in rng.permutation(np.r_[keep, np.array(keep, int) + len(bags)]).astype(int):
+            ids, counts = np.unique(bags[i] if i < len(bags) else pieces[i - len(bags)], return_counts=True)
+            i %= len(bags)
+            if not len(ids):
+                continue
             part = counts / counts.sum()
             mean = part @ emb[ids]
             g = _softmax(mean @ layer + bias)
@@ -118,7 +123,7 @@ def train(texts: list[str], labels: list[str], o: LangOptions) -> LangModel:
     if held:
         logits = np.array([table[bags[i]].mean(axis=0) + bias for i in held])
         truth = y[held]
-        grid = np.geomspace(0.05, 5, 40)
+        grid = np.geomspace(0.3, 5, 40)
         loss = [-np.log(_softmax(logits / t)[np.arange(len(held)), truth] + 1e-9).mean() for t in grid]
         model.temperature = float(grid[int(np.argmin(loss))])
         sure = np.sort(_softmax(logits / model.temperature).max(axis=1))
