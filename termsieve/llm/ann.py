@@ -31,11 +31,11 @@ class AnnOptions:
     """
 
     k: int = 20
-    tables: int = 4
-    directions: int = 8
-    width: float = 1.6
+    tables: int = 3
+    directions: int = 4
+    width: float = 1.2
     radius: float = 1.12
-    share: float = 0.93
+    share: float = 0.82
     seed: int = 29
     blocks: int = 12
     block_rows: tuple[int, int] = (512, 16384)
