@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .ann import nearest
 from .bpe import encode_texts
@@ -12,8 +13,11 @@ from .chat import digest as chat_digest
 from .chat import format_conversations
 from .embed_dedup import embedding_duplicates
 from .langid import fit, held_out, predict
+from .license_scan import scan_licenses
 from .minhash import MinHashOptions, near_duplicates
 from .mixing import mix
+from .pii import digest as pii_digest
+from .pii import find_pii
 from .secret_scan import digest as secret_digest
 from .secret_scan import find_secrets
 
@@ -50,6 +54,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(find_pii(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.where("vec_id % 20 = 0"))
@@ -60,6 +68,13 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no paths of their own: source/language/doc_id stands for one."""
+    docs = _table(spark, sf_dir, "documents")
+    files = docs.select("doc_id", "text", F.concat_ws("/", "source", "lang", "doc_id").alias("path"))
+    return scan_licenses(files).select("doc_id", "path", "licence", "score", "scope", "from_path")
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_duplicates(_table(spark, sf_dir, "embeddings"))
 
@@ -77,8 +92,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_chat_format": op2_chat_format,
         "op3_secret_scan": op3_secret_scan,
         "op4_bpe": op4_bpe,
+        "op5_pii": op5_pii,
         "op6_ann": op6_ann,
         "op7_mix": op7_mix,
+        "op8_license_scan": op8_license_scan,
         "op9_embedding_dedup": op9_embedding_dedup,
         "op10_langid": op10_langid,
     }
