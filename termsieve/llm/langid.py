@@ -127,8 +127,8 @@ def train(texts: list[str], labels: list[str], o: LangOptions) -> LangModel:
         loss = [-np.log(_softmax(logits / t)[np.arange(len(held)), truth] + 1e-9).mean() for t in grid]
         model.temperature = float(grid[int(np.argmin(loss))])
         sure = np.sort(_softmax(logits / model.temperature).max(axis=1))
-        # At most the given share of the calibration rows is less sure; no bound above 0.5.
-        model.bound = float(min(0.5, sure[int(o.rejected * len(sure))] * 0.999))
+        # At most the given share of the calibration rows is less sure; no bound above 0.35.
+        model.bound = float(min(0.35, sure[int(o.rejected * len(sure))] * 0.999))
     return model
 
 

@@ -97,12 +97,13 @@ def _sketcher(o: MinHashOptions):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("text_hash"),
                     pa.array(n, pa.int64()),
                     pa.array(np.array(a, np.uint64).view(np.int64)),
                     pa.array(np.array(b, np.uint64).view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.array(flat)),
                 ],
-                ["doc_id", "n_shingles", "fp_a", "fp_b", "bands"],
+                ["doc_id", "text_hash", "n_shingles", "fp_a", "fp_b", "bands"],
             )
 
     return run
@@ -156,7 +157,7 @@ def _tile_links(percent: int):
 
 
 def near_duplicates(docs: DataFrame, options: MinHashOptions | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs.
+    """(doc_id, n_shingles, component_id, kept, text_hash) for every row of docs.
 
     Words are runs of anything but the six ASCII spaces, A-Z lower-cased. Null, empty and blank
     texts have no shingles, link with nothing and are kept. Repeated rows give repeated results.
@@ -169,7 +170,7 @@ def near_duplicates(docs: DataFrame, options: MinHashOptions | None = None, id_c
     scratch = Scratch(spark, "minhash")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketches = scratch.keep(
-        base.mapInArrow(_sketcher(o), "doc_id long, n_shingles long, fp_a long, fp_b long, bands array<long>"), "sketches"
+        base.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_sketcher(o), "doc_id long, text_hash long, n_shingles long, fp_a long, fp_b long, bands array<long>"), "sketches"
     )
     # Classes of equal sets; the smallest doc_id stands for its class.
     classes = scratch.keep(
@@ -209,14 +210,29 @@ def near_duplicates(docs: DataFrame, options: MinHashOptions | None = None, id_c
     )
     scratch.drop("members")
     scratch.drop("sets")
-    out = sketches.select("doc_id", "n_shingles", "fp_a", "fp_b").join(rep_comp, ["fp_a", "fp_b", "n_shingles"], "left")
+    out = sketches.select("doc_id", "text_hash", "n_shingles", "fp_a", "fp_b").join(rep_comp, ["fp_a", "fp_b", "n_shingles"], "left")
     return out.select(
         "doc_id", "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
-        F.coalesce(F.coalesce("component", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
+        F.coalesce(F.coalesce("component", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"), "text_hash",
     )
 
 
+def keep_one(docs: DataFrame, options: MinHashOptions | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the documents that near_duplicates doesn't keep; of rows that repeat a doc_id and text one stays."""
+    judged = near_duplicates(docs, options, id_col, text_col)
+    names = judged.where("kept").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.count("*").alias("_n"))
+    names = Scratch(docs.sparkSession, "kept").keep(names, "names")
+    text = F.xxhash64(F.col(text_col).cast("string"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (text == F.col("_hash"))
+    out = docs.join(names.select("_id", "_hash"), same, "left_semi")
+    if names.where("_n > 1 and _id is not null").isEmpty():
+        return out
+    # Rows of a repeated name are few; only they are grouped.
+    again = names.where("_n > 1 and _id is not null").select("_id", "_hash")
+    return out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates([id_col, text_col]))
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (doc, centre) whose full sets are similar enough, as (a, b)."""
     sizes = sets.select("doc_id", "size")

@@ -68,40 +68,66 @@ def targets(sources: DataFrame, o: MixOptions) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, options: MixOptions | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) for every row of docs.
+def _key(docs: DataFrame, o: MixOptions, id_col: str, text: Column, size: Column) -> Column:
+    known = F.coalesce(F.col(id_col).cast("long"), F.lit(-1))
+    u = (F.pmod(F.xxhash64(known, F.xxhash64(text), F.lit(o.seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    return -F.log(u) / quality(size, text)
 
-    size counts the text's words; a null or empty text has none and is never taken. A null source
-    is a source of its own, last in order. copies is how often the mix takes the document, taken
-    the words that makes. Keys depend on the doc_id, the text's hash and the seed only, so reruns agree; a
-    null doc_id counts as -1; rows that agree in all of this are interchangeable. Other columns are
-    ignored; an empty table gives an empty result.
-    """
-    o = options or MixOptions()
+
+def _ranked(docs: DataFrame, o: MixOptions, id_col: str, text_col: str, source_col: str) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "mix")
     text = F.col(text_col)
-    u = (F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), F.xxhash64(text), F.lit(o.seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    sized = (
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), text.alias("text"), word_count(text).alias("size"), u.alias("u"))
-        .select("doc_id", "source", "size", (-F.log("u") / quality(F.col("size"), F.col("text"))).alias("key"))
-    )
-    sized = scratch.keep(sized, "sized")
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), text.alias("text"), word_count(text).alias("size"))
+    sized = scratch.keep(sized.select("doc_id", "source", "size", _key(sized, o, "doc_id", F.col("text"), F.col("size")).alias("key")), "sized")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     sources = scratch.keep(targets(sources, o), "sources")
     small = F.broadcast(sources) if sources.count() <= FEW_SOURCES else sources
     ranges = F.ceil(F.sqrt("n")).cast("long")
     placed = sized.join(small.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     placed = placed.withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * ranges))
-    name = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
-    placed = placed.withColumn("src", name)
+    placed = placed.withColumn("src", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")))
     sums = placed.groupBy("src", "range").agg(F.sum("size").alias("in_range"))
     ahead = Window.partitionBy("src").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("src", "range", F.coalesce(F.sum("in_range").over(ahead), F.lit(0)).alias("before"))
     inside = Window.partitionBy("src", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     ranked = placed.join(sums, ["src", "range"]).withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(o.passes))).otherwise(F.lit(0)).cast("long")
-    rest = F.col("target") - whole * F.col("source_size")
+    rest = F.col("target") - F.col("whole") * F.col("source_size")
     # A document at the end of the budget is taken if most of it fits.
-    more = ((F.col("size") > 0) & (whole < o.passes) & (F.col("ahead") + F.col("size") / 2 <= rest)).cast("long")
-    copies = F.when(F.col("size") > 0, whole + more).otherwise(F.lit(0)).cast("long")
+    more = (F.col("size") > 0) & (F.col("whole") < o.passes) & (F.col("ahead") + F.col("size") / 2 <= rest)
+    return ranked.withColumn("whole", whole).withColumn("more", more)
+
+
+def mix(docs: DataFrame, options: MixOptions | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken) for every row of docs.
+
+    size counts the text's words; a null or empty text has none and is never taken. A null source
+    is a source of its own, last in order. copies is how often the mix takes the document, taken
+    the words that makes. Keys depend on the doc_id, the text's hash and the seed only, so reruns
+    agree; a null doc_id counts as -1; rows that agree in all of this are interchangeable. Other
+    columns are ignored; an empty table gives an empty result.
+    """
+    ranked = _ranked(docs, options or MixOptions(), id_col, text_col, source_col)
+    copies = F.when(F.col("size") > 0, F.col("whole") + F.col("more").cast("long")).otherwise(F.lit(0)).cast("long")
     return ranked.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, options: MixOptions | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """docs as the mix takes them: each row as often as it has copies in mix().
+
+    What is taken in part of a pass is a run of keys from the smallest, so each source's last key
+    decides, and texts aren't dealt again. Rows that repeat the document at that key all count.
+    """
+    o = options or MixOptions()
+    cuts = _ranked(docs, o, id_col, text_col, source_col).groupBy("source").agg(
+        F.max("whole").alias("_whole"), F.max(F.when(F.col("more"), F.col("key"))).alias("_cut")
+    )
+    cuts = Scratch(docs.sparkSession, "cuts").keep(cuts.withColumnRenamed("source", "_source"), "cuts")
+    cuts = F.broadcast(cuts) if cuts.count() <= FEW_SOURCES else cuts
+    size = word_count(F.col(text_col))
+    sized = docs.withColumn("_size", size)
+    keyed = sized.withColumn("_key", _key(sized, o, id_col, F.col(text_col), F.col("_size")))
+    keyed = keyed.join(cuts, F.col(source_col).eqNullSafe(F.col("_source")))
+    copies = F.col("_whole") + F.coalesce(F.col("_key") <= F.col("_cut"), F.lit(False)).cast("long")
+    taken = keyed.where((F.col("_size") > 0) & (copies > 0)).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
+    return taken.select(*[F.col(f"`{c}`") for c in docs.columns])
