@@ -176,7 +176,7 @@ def to_artifact(result: BuildResult) -> dict:
             F.col("needs_review").cast("int").alias("f"), "also_found_in",
         )
         row = e.agg(F.array_sort(F.collect_list(F.struct("term_index", "term", "c", "s", "l", "f"))).alias("rows")).select(
-            *[F.array_join(F.transform("rows", lambda r, n=n: r[n].cast("string")), sep).alias(n) for n, sep in (("term", "\n"), ("c", ","), ("s", ","), ("l", ","), ("f", ","))]
+            *[F.array_join(F.col(f"rows.{n}").cast("array<string>"), sep).alias(n) for n, sep in (("term", "\n"), ("c", ","), ("s", ","), ("l", ","), ("f", ","))]
         ).first()
         out = dict(zip(out, row, strict=True))
         also = {str(r["term_index"]): r["also_found_in"] for r in e.where(F.size("also_found_in") > 0).orderBy("term_index").collect()}
