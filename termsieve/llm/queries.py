@@ -16,6 +16,7 @@ from .langid import fit, held_out, predict
 from .license_scan import scan_licenses
 from .minhash import MinHashOptions, near_duplicates
 from .mixing import mix
+from .oracles import oracle_sql
 from .pii import digest as pii_digest
 from .pii import find_pii
 from .secret_scan import digest as secret_digest
@@ -27,7 +28,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_table(spark, sf_dir, "documents"), MinHashOptions(width=3, percent=85))
+    out = near_duplicates(_table(spark, sf_dir, "documents"), MinHashOptions(width=3, percent=85))
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,5 +103,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+__all__ = ["oracle_sql", "queries", "vocabulary_path"]
