@@ -23,6 +23,7 @@ from .scratch import Scratch
 from .shingles import mix, shingle_sets
 
 _U = np.uint64
+SALTS = 32
 
 
 @dataclass(frozen=True)
@@ -262,7 +263,10 @@ def _rest(members: DataFrame, comps: DataFrame, sets: DataFrame, scratch: Scratc
         "tagged",
     )
     unsettled = tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    open_rows = tagged.join(unsettled, "key", "left_semi").select("doc", "centre").distinct()
+    # A large bucket's members are dealt by a salt beside its key.
+    salt = F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")
+    salted = unsettled.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    open_rows = tagged.withColumn("salt", salt).join(salted, ["key", "salt"], "left_semi").select("doc", "centre").distinct()
     open_rows = scratch.keep(open_rows, "open")
     groups = connected_components(open_rows.select(F.col("doc").alias("a"), F.col("centre").alias("b")), scratch, "groups")
     there = (
