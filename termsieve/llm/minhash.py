@@ -182,11 +182,13 @@ def near_duplicates(docs: DataFrame, options: MinHashOptions | None = None, id_c
     rows = classes.select("rep", "n_shingles", F.explode("bands").alias("key"))
     centre = (
         rows.groupBy("key")
-        .agg(F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("doc"))).alias("c"), F.count("*").alias("n"))
-        .where("n > 1").select("key", F.col("c.doc").alias("centre"), "n")
+        .agg(F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("doc"), F.col("n_shingles").alias("size"))).alias("c"), F.count("*").alias("n"))
+        .where("n > 1").select("key", F.col("c.doc").alias("centre"), F.col("c.size").alias("centre_size"), "n")
     )
     members = scratch.keep(
-        rows.join(centre, "key").where("rep <> centre").select("key", F.col("rep").alias("doc"), "n_shingles", "centre", "n"), "members"
+        rows.join(centre, "key").where("rep <> centre")
+        .select("key", F.col("rep").alias("doc"), F.col("n_shingles").alias("size"), "centre", "centre_size", "n"),
+        "members",
     )
     wanted = scratch.keep(
         members.select(F.explode(F.array("doc", "centre")).alias("doc_id")).distinct(), "wanted"
@@ -194,10 +196,12 @@ def near_duplicates(docs: DataFrame, options: MinHashOptions | None = None, id_c
     # Copies of one class hold equal sets: each wanted document is cut into shingles once.
     sets = scratch.keep(
         base.join(wanted, "doc_id", "left_semi").mapInArrow(_set_maker(o.width), "doc_id long, hashes array<long>")
-        .select("doc_id", "hashes", F.size("hashes").alias("size")),
+        .select("doc_id", "hashes"),
         "sets",
     )
-    stars = members.select("doc", "centre").distinct()
+    # Sets whose sizes differ too much can't be similar enough.
+    close = 100 * F.least("size", "centre_size") >= o.percent * F.greatest("size", "centre_size")
+    stars = scratch.keep(members.where(close).select("doc", "centre").distinct(), "stars")
     linked = _confirmed(stars, sets, o.percent)
     links = scratch.keep(linked, "star-links")
     comps = connected_components(links.select("a", "b"), scratch, "first")
@@ -236,17 +240,11 @@ def keep_one(docs: DataFrame, options: MinHashOptions | None = None, id_col: str
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (doc, centre) whose full sets are similar enough, as (a, b)."""
-    sizes = sets.select("doc_id", "size")
-    a, b = sizes.alias("a"), sizes.alias("b")
-    close = (
-        pairs.join(a, F.col("doc") == F.col("a.doc_id")).join(b, F.col("centre") == F.col("b.doc_id"))
-        .where(100 * F.least("a.size", "b.size") >= percent * F.greatest("a.size", "b.size")).select("doc", "centre").distinct()
-    )
     left = sets.select(F.col("doc_id").alias("doc"), F.col("hashes").alias("ha"))
     right = sets.select(F.col("doc_id").alias("centre"), F.col("hashes").alias("hb"))
-    both = close.join(left, "doc").join(right, "centre")
+    both = pairs.join(left, "doc").join(right, "centre")
     common = both.select("doc", "centre", (F.size("ha") + F.size("hb")).alias("total"), F.size(F.array_intersect("ha", "hb")).alias("common"))
-    return common.where(100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).select(F.col("doc").alias("a"), F.col("centre").alias("b")).distinct()
+    return common.where(100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).select(F.col("doc").alias("a"), F.col("centre").alias("b"))
 
 
 def _rest(members: DataFrame, comps: DataFrame, sets: DataFrame, scratch: Scratch, o: MinHashOptions) -> DataFrame:
