@@ -102,16 +102,16 @@ def _search(o: AnnOptions, longest: dict[int, float]):
                 score[np.ix_(who, at)] = q[who] @ x[at].T
         score[q_id[:, None] == x_id[None, :]] = -np.inf
         keep = min(o.k, len(x))
-        out = []
-        for i in range(len(q)):
-            s = score[i]
-            bound = np.partition(s, len(s) - keep)[len(s) - keep]
-            # Products of matrices may round otherwise than one pair's sum: near ties go on.
-            near = np.flatnonzero((s > -np.inf) & ((s >= bound - 1e-9 * (1 + abs(bound))) | (bound == -np.inf)))
-            exact = (x[near] * q[i]).sum(axis=1)
-            best = np.lexsort((x_id[near], -exact))[:keep]
-            out.append(pd.DataFrame({"query_id": q_id[i], "vec_id": x_id[near[best]], "score": exact[best]}))
-        return pd.concat(out, ignore_index=True) if out else empty
+        bound = np.partition(score, len(x) - keep, axis=1)[:, len(x) - keep]
+        # Products of matrices may round otherwise than one pair's sum: near ties go on.
+        least = np.where(np.isfinite(bound), bound - 1e-9 * (1 + np.abs(bound)), -np.inf)
+        i, j = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+        exact = (x[j] * q[i]).sum(axis=1)
+        order = np.lexsort((x_id[j], -exact, i))
+        i, j, exact = i[order], j[order], exact[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        best = place < keep
+        return pd.DataFrame({"query_id": q_id[i[best]], "vec_id": x_id[j[best]], "score": exact[best]})
 
     return run
 

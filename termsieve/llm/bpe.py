@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _END = 0x10000  # added to the last symbol of a word
-PIECES = 400_000
+PIECES = 250_000
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
@@ -222,11 +222,12 @@ class Encoder:
             words = self.split(piece.lower())
         out = []
         for word in words:
-            known = self.words.get(word)
+            # A word that stands alone somewhere is known as a piece.
+            known = self.words.get(word) or self.pieces.get(word)
             if known is None:
                 raw = "".join(map(self.bytes_of.__getitem__, word.encode("utf-8", "surrogatepass")))
                 known = np.array(self.encode_word(raw[:-1] + chr(ord(raw[-1]) + _END)), dtype="<u4").tobytes()
-                if len(word) <= 64:
+                if len(word) <= 64 and len(words) > 1:
                     self.words[word] = known
             out.append(known)
         return b"".join(out)
