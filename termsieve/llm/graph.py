@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
 MAX_ROUNDS = 60
+SALTS = 8
+
+
+def _salt(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(SALTS))
+
+
+def _each_salt(low: DataFrame) -> DataFrame:
+    """A row for each salt: the edges of one node, however many, are dealt over several tasks."""
+    return low.select(F.col("u").alias("of"), "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     """(node, component) for every node of edges (a, b); component is the smallest node reachable.
 
     Nodes without an edge to another node don't appear. Null ends and loops are ignored. Each
-    round writes its edges to the scratch folder. A round needs one minimum for each node, which
-    Spark computes with partial aggregates, and one join, which it can split where a node is hot.
+    round writes its edges to the scratch folder. A round needs minima by node, which Spark computes
+    with partial aggregates, and joins with them, in which a hot node's edges are salted.
     """
     e = edges.select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
@@ -24,17 +34,20 @@ def connected_components(edges: DataFrame, scratch: Scratch, label: str) -> Data
     before = None
     for r in range(1, MAX_ROUNDS):
         both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # Large star: every larger neighbour of a node is linked to the node's smallest neighbour.
+        # Nodes without a smaller neighbour change nothing and aren't looked up.
+        low = both.groupBy("u").agg(F.min("v").alias("m")).where("m < u")
+        up = both.where("v > u")
         large = (
-            both.where("v > u").join(low, "u")
-            .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+            up.join(_each_salt(low), [up.u == F.col("of"), _salt("v") == F.col("salt")], "left")
+            .select(F.col("v").alias("u"), F.coalesce("m", "u").alias("v")).distinct()
         )
         # Small star: smaller neighbours and the node itself are linked to the smallest of them.
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
+        pair = lambda a, b: F.struct(F.col(a).alias("u"), F.col(b).alias("v"))
         small = (
-            large.join(low2, "u")
-            .select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("s"))
+            large.join(_each_salt(low2), [large.u == F.col("of"), _salt("v") == F.col("salt")])
+            .select(F.explode(F.array(pair("u", "m"), pair("v", "m"))).alias("s"))
             .select("s.u", "s.v").where("u <> v").distinct()
         )
         e = scratch.keep(small, f"{label}-{r}")
