@@ -222,12 +222,12 @@ class Encoder:
             words = self.split(piece.lower())
         out = []
         for word in words:
-            # A word that stands alone somewhere is known as a piece.
-            known = self.words.get(word) or self.pieces.get(word)
+            # A word of ASCII that stands alone somewhere is known as a piece; others normalize again.
+            known = self.words.get(word) or (self.pieces.get(word) if word.isascii() else None)
             if known is None:
                 raw = "".join(map(self.bytes_of.__getitem__, word.encode("utf-8", "surrogatepass")))
                 known = np.array(self.encode_word(raw[:-1] + chr(ord(raw[-1]) + _END)), dtype="<u4").tobytes()
-                if len(word) <= 64 and len(words) > 1:
+                if len(word) <= 64 and (len(words) > 1 or not word.isascii()):
                     self.words[word] = known
             out.append(known)
         return b"".join(out)

@@ -39,6 +39,12 @@ def test_texts_as_the_library(both):
         assert same(both, "".join(chr(r.choice(r.choice(pools))) for _ in range(r.randint(1, 14))))
 
 
+def test_kept_pieces_do_not_stand_in_for_normalized_words(both):
+    # The lower case of U+0130 isn't composed again, the same characters as a text are.
+    for text in ("i\u0307\u0319 x", "\u0130\u0319!", "\u0130\u0319", "i\u0307\u0319!"):
+        assert same(both, text), ascii(text)
+
+
 def test_merging_by_rank_is_what_the_backtracking_gives(both):
     own = both[1]
     ranks = {h: i for i, h in enumerate(own.v.halves) if h != (i, i)}
