@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import pickle
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark import Broadcast
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from termsieve.config import FuzzyOptions, NormalizeOptions
 
-from .matcher import Matcher
+from .matcher import Hit, Matcher
 from .views import fold, normalizer
 
 MATCHES = (
@@ -42,31 +43,84 @@ def _matcher(name: str, data: Broadcast) -> Matcher:
     return _workers[name]
 
 
-def scan_column(
-    shipped: Shipped, text: Column, mode: str, overlap: str, categories: tuple[str, ...] | None, max_matches: int | None, allowlist: tuple[str, ...]
-) -> Column:
+@dataclass(frozen=True)
+class ScanCall:
+    """The arguments of one scan."""
+
+    mode: str
+    overlap: str
+    categories: tuple[str, ...] | None = None
+    max_matches: int | None = None
+    allowlist: tuple[str, ...] = ()
+
+    def hits(self, m: Matcher, text: str) -> list[Hit]:
+        return m.scan(text, self.mode, self.overlap, self.categories, self.max_matches, self.allowlist)
+
+
+def masked(text: str, hits: list[Hit], char: str) -> str:
+    """text with every code point of the hits, in order of start, replaced."""
+    out, at = [], 0
+    for h in hits:
+        if h.end > at:
+            start = max(h.start, at)
+            out += [text[at:start], char * (h.end - start)]
+            at = h.end
+    return "".join([*out, text[at:]]) if out else text
+
+
+def _arrays(m: Matcher, texts: list[str | None], found: list[list[Hit] | None]) -> pa.Array:
+    cols: list[list] = [[] for _ in _FIELDS]
+    offsets: list[int | None] = [0]
+    for text, hits in zip(texts, found, strict=True):
+        if hits is None:
+            offsets[-1], at = None, offsets[-1]
+            offsets.append(at)
+            continue
+        for h in hits:
+            t = m.terms[h.term]
+            said = text[h.start : h.end]
+            kind = "exact" if said == t.term else "fuzzy" if h.fuzzy else "normalized"
+            for c, v in zip(cols, (h.term, t.term, said, t.category, t.severity, kind, h.start, h.end), strict=True):
+                c.append(v)
+        offsets.append(len(cols[0]))
+    values = pa.StructArray.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(cols, _FIELDS, strict=True)], [n for n, _ in _FIELDS])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+
+def scan_column(shipped: Shipped, text: Column, call: ScanCall) -> Column:
     """The text's matches in order; null for a null text."""
     name, data = shipped.name, shipped.data
 
     @F.arrow_udf(MATCHES)
     def scan(texts: pa.Array) -> pa.Array:
+        m, listed = _matcher(name, data), texts.to_pylist()
+        return _arrays(m, listed, [None if t is None else call.hits(m, t) for t in listed])
+
+    return scan(text)
+
+
+def mask_column(shipped: Shipped, text: Column, call: ScanCall, char: str) -> Column:
+    """The masked text alone, in time linear in text and matches."""
+    name, data = shipped.name, shipped.data
+
+    @F.arrow_udf("string")
+    def mask(texts: pa.Array) -> pa.Array:
         m = _matcher(name, data)
-        cols: list[list] = [[] for _ in _FIELDS]
-        offsets: list[int | None] = [0]
-        for text in texts.to_pylist():
-            if text is None:
-                offsets[-1], at = None, offsets[-1]
-                offsets.append(at)
-                continue
-            for h in m.scan(text, mode, overlap, categories, max_matches, allowlist):
-                t = m.terms[h.term]
-                said = text[h.start : h.end]
-                kind = "exact" if said == t.term else "fuzzy" if h.fuzzy else "normalized"
-                for c, v in zip(cols, (h.term, t.term, said, t.category, t.severity, kind, h.start, h.end), strict=True):
-                    c.append(v)
-            offsets.append(len(cols[0]))
-        values = pa.StructArray.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(cols, _FIELDS, strict=True)], [n for n, _ in _FIELDS])
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+        return pa.array([None if t is None else masked(t, call.hits(m, t), char) for t in texts.to_pylist()], pa.string())
+
+    return mask(text)
+
+
+def scan_and_mask_column(shipped: Shipped, text: Column, call: ScanCall, char: str) -> Column:
+    """(matches, masked_text) from one scan."""
+    name, data = shipped.name, shipped.data
+
+    @F.arrow_udf(f"struct<matches:{MATCHES},masked_text:string>")
+    def scan(texts: pa.Array) -> pa.Array:
+        m, listed = _matcher(name, data), texts.to_pylist()
+        found = [None if t is None else call.hits(m, t) for t in listed]
+        hidden = pa.array([None if t is None else masked(t, h, char) for t, h in zip(listed, found, strict=True)], pa.string())
+        return pa.StructArray.from_arrays([_arrays(m, listed, found), hidden], ["matches", "masked_text"])
 
     return scan(text)
 

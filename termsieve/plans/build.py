@@ -96,27 +96,34 @@ def attribute(lines: DataFrame, files: DataFrame, config: DataFrame, default_sev
     )
     categories = named.groupBy("category").agg(F.min_by("info", "file_seq").alias("info")).select(F.col("category").alias("id"), "info.*").drop("file_seq")
     owners = named.select("file_seq", "category").join(categories.select(F.col("id").alias("category"), F.col("severity").alias("category_severity")), "category")
-    flagged = lines.withColumn("normalized", normalize_column(F.col("term"))).withColumn("issues", T.inspect_term(F.col("term"), F.col("normalized")))
-    usable = flagged.where(~T.is_fatal(F.col("issues")))
-    # One row for each term and file, with its first line; few files share a term, so groups are small.
+    # One row for each term and file, with its first line; all that follows is by term.
     per_file = (
-        usable.groupBy("term", "file_seq").agg(F.min("line_no").alias("line_no"), F.first("normalized").alias("normalized"), F.first("issues").alias("issues"), F.count("*").alias("n"), F.first("source_path").alias("source_path"))
+        lines.groupBy("term", "file_seq").agg(F.min("line_no").alias("line_no"), F.count("*").alias("n"), F.first("source_path").alias("source_path"))
         .join(F.broadcast(owners), "file_seq").withColumn("rank", T.severity_rank(F.col("category_severity")))
     )
     by_file = Window.partitionBy("term").orderBy("file_seq")
     earlier = by_file.rowsBetween(Window.unboundedPreceding, -1)
     placed = per_file.withColumn("nth", F.row_number().over(by_file)).withColumn("before", F.max("rank").over(earlier))
     owner = F.max_by(F.struct("category", F.col("category_severity").alias("severity"), "source_path"), F.struct("rank", -F.col("file_seq")))
-    first = F.min_by(F.struct("file_seq", "line_no", F.col("source_path").alias("first_path"), "normalized", "issues"), "nth")
-    terms = placed.groupBy("term").agg(
+    first = F.min_by(F.struct("file_seq", "line_no", F.col("source_path").alias("first_path")), "nth")
+    grouped = placed.groupBy("term").agg(
         first.alias("f"), owner.alias("o"), F.collect_set("source_path").alias("paths"), F.sum("n").alias("lines"), F.count("*").alias("files"),
         F.count_if((F.col("nth") > 1) & (F.col("rank") > F.col("before"))).alias("reassigned"),
     )
-    terms = terms.select(
-        "term", "f.*", "o.category", "o.severity", "o.source_path", F.array_sort(F.array_remove("paths", F.col("o.source_path"))).alias("also_found_in"),
-        "lines", "files", "reassigned", (F.size("f.issues") > 0).alias("needs_review"), T.detect_language(F.col("term")).alias("language"),
+    # Normal forms and flags depend on the term alone: they are worked out once for each.
+    known = grouped.withColumn("normalized", normalize_column(F.col("term"))).withColumn("issues", T.inspect_term(F.col("term"), F.col("normalized")))
+    odd = known.where(F.size("issues") > 0).select("term", "lines", "issues")
+    flagged = lines.join(odd.drop("lines"), "term").select("term", "source_path", "file_seq", "line_no", "issues")
+    terms = known.where(~T.is_fatal(F.col("issues"))).select(
+        "term", "normalized", "issues", "f.*", "o.category", "o.severity", "o.source_path", F.array_sort(F.array_remove("paths", F.col("o.source_path"))).alias("also_found_in"),
+        "lines", "files", "reassigned", (F.size("issues") > 0).alias("needs_review"), T.detect_language(F.col("term")).alias("language"),
     )
-    return {"categories": categories, "flagged": flagged, "terms": terms, "mapped": mapped}
+    return {"categories": categories, "flagged": flagged, "odd": odd, "terms": terms, "mapped": mapped}
+
+
+def count_issues(odd: DataFrame) -> DataFrame:
+    """How many lines have each issue, from terms (lines, issues)."""
+    return odd.select("lines", F.explode("issues").alias("issue")).groupBy("issue").agg(F.sum("lines").alias("n"))
 
 
 def build_lexicon(
@@ -128,7 +135,7 @@ def build_lexicon(
     config = config if config is not None else spark.createDataFrame([], CONFIG)
     lines, counts = parse_files(files)
     parts = attribute(lines, counts, config, default_severity)
-    terms, flagged = parts["terms"], parts["flagged"]
+    terms, odd = parts["terms"], parts["odd"]
     # The index needs one order over all terms, which a lexicon's size allows.
     entries = terms.withColumn("term_index", F.row_number().over(Window.orderBy("file_seq", "line_no")) - 1)
     by_category = terms.groupBy("category").agg(F.count("*").alias("term_count"))
@@ -139,8 +146,7 @@ def build_lexicon(
         "file_seq", F.col("source_path").alias("path"), T.base_name(F.col("source_path")).alias("name"), "category", "raw_line_count", "empty_line_count",
         F.coalesce("term_count", F.lit(0)).cast("long").alias("term_count"), "sha256", "bom_stripped", "crlf_line_count",
     )
-    with_issues = flagged.where(F.size("issues") > 0).select("term", "source_path", "file_seq", "line_no", "issues")
-    issue_counts = with_issues.select(F.explode("issues").alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
+    issue_counts = count_issues(odd)
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     from_files = sources.agg(zero(F.sum("raw_line_count")).alias("raw_line_count"), zero(F.sum("empty_line_count")).alias("empty_line_count"))
     from_terms = terms.agg(
@@ -148,9 +154,8 @@ def build_lexicon(
         zero(F.sum("reassigned")).alias("reassigned_count"), (F.count("*") - F.count_distinct("normalized")).alias("normalized_collision_count"),
         F.count_if("needs_review").alias("needs_review_term_count"),
     )
-    from_issues = with_issues.agg(
-        F.count_if(F.array_contains("issues", "single-character")).alias("single_character_term_count"), F.count("*").alias("suspicious_term_count")
-    )
+    single = F.when(F.array_contains("issues", "single-character"), F.col("lines")).otherwise(0)
+    from_issues = odd.agg(zero(F.sum(single)).alias("single_character_term_count"), zero(F.sum("lines")).alias("suspicious_term_count"))
     stamp = now.astimezone(UTC)
     text = lambda v: F.lit(v).cast("string")
     report = from_files.crossJoin(from_terms).crossJoin(from_issues).select(
@@ -159,7 +164,7 @@ def build_lexicon(
         F.col("raw_line_count").alias("term_count_before_dedupe"), "term_count_after_dedupe", "duplicate_count", "cross_source_duplicate_count", "reassigned_count",
         "normalized_collision_count", "single_character_term_count", "suspicious_term_count", "needs_review_term_count",
     )
-    return BuildResult(entries, categories, sources, with_issues, issue_counts, report)
+    return BuildResult(entries, categories, sources, parts["flagged"], issue_counts, report)
 
 
 def to_artifact(result: BuildResult) -> dict:

@@ -15,7 +15,7 @@ from termsieve.config import (
 from termsieve.functions.text import js_trim, utf16_length
 from termsieve.operators import verdict
 from termsieve.operators.matcher import WILDCARDS, Matcher, Term
-from termsieve.operators.scan import Shipped, scan_column
+from termsieve.operators.scan import ScanCall, Shipped, mask_column, scan_and_mask_column, scan_column
 from termsieve.sources.terms import Lexicon
 
 MAX_TERMS = 5_000_000
@@ -72,7 +72,8 @@ class Moderator:
 
     # -- columns --------------------------------------------------------------------------
 
-    def matches_column(self, text: Column, options: ScanOptions | None = None) -> Column:
+    def call(self, options: ScanOptions | None = None) -> ScanCall:
+        """The scan that the options ask for, with this moderator's defaults."""
         o = options or ScanOptions()
         mode = _mode(o.mode or self.options.mode)
         overlap = o.overlap or self.options.matcher.overlap
@@ -81,7 +82,10 @@ class Moderator:
         unknown = [c for c in o.categories or () if c not in WILDCARDS and c not in self.known]
         if unknown:
             raise ModerationInputError("unknown category: " + ", ".join(unknown), "UNKNOWN_CATEGORY")
-        return scan_column(self.shipped, text, mode, overlap, o.categories, o.max_matches, tuple(o.allowlist))
+        return ScanCall(mode, overlap, o.categories, o.max_matches, tuple(o.allowlist))
+
+    def matches_column(self, text: Column, options: ScanOptions | None = None) -> Column:
+        return scan_column(self.shipped, text, self.call(options))
 
     def _text(self, df: DataFrame, text_col: str) -> Column:
         if not isinstance(df.schema[text_col].dataType, (T.StringType, T.NullType)):
@@ -103,7 +107,11 @@ class Moderator:
             check_mask_char(char)
         m = F.col("matches")
         known = lambda c: F.when(m.isNotNull(), c)
-        out = df.withColumn("matches", self.matches_column(text, o))
+        if o.mask:
+            found = df.withColumn("_found", scan_and_mask_column(self.shipped, text, self.call(o), char))
+            out = found.withColumns({"matches": F.col("_found.matches"), "masked_text": F.col("_found.masked_text")}).drop("_found")
+        else:
+            out = df.withColumn("matches", self.matches_column(text, o))
         new = {
             "matched": known(F.size(m) > 0),
             "decision": known(verdict.decide(m, self.options.policy)),
@@ -112,8 +120,6 @@ class Moderator:
             "unique_term_count": known(F.size(verdict.unique_terms(m)).cast("long")),
             "categories": known(verdict.categories(m)),
         }
-        if o.mask:
-            new["masked_text"] = known(verdict.mask_matches(text, m, char))
         out = out.withColumns(new)
         stamp = F.struct(F.lit(self.lexicon.version).alias("version"), F.lit(self.lexicon.upstream_commit).cast("string").alias("upstream_commit"))
         out = out.withColumn("lexicon", stamp)
@@ -141,9 +147,7 @@ class Moderator:
     def mask(self, df: DataFrame, options: ScanOptions | None = None, text_col: str = "text") -> DataFrame:
         o = options or ScanOptions()
         char = check_mask_char(self.options.mask_char if o.mask_char is None else o.mask_char)
-        text = self._text(df, text_col)
-        found = df.withColumn("_matches", self.matches_column(text, o))
-        return found.withColumn("masked_text", verdict.mask_matches(text, F.col("_matches"), char)).drop("_matches")
+        return df.withColumn("masked_text", mask_column(self.shipped, self._text(df, text_col), self.call(o), char))
 
     # -- batch contract ---------------------------------------------------------------------
 

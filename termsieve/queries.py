@@ -15,7 +15,7 @@ from termsieve.config import MatcherOptions, Policy, ScanOptions
 from termsieve.functions import text as T
 from termsieve.operators import verdict
 from termsieve.operators.scan import fold_column, normalize_column
-from termsieve.plans.build import attribute, diff_snapshots
+from termsieve.plans.build import attribute, count_issues, diff_snapshots
 from termsieve.plans.moderator import Moderator, ModeratorOptions, batch_error, moderator_from_terms
 from termsieve.sources.terms import CATEGORY, Lexicon, select_categories
 
@@ -264,7 +264,7 @@ def build_report_counters(spark, d):
 
 
 def issue_counts(spark, d):
-    return _attributed(spark, d)["flagged"].select(F.explode("issues").alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
+    return count_issues(_attributed(spark, d)["odd"])
 
 
 def per_category(spark, d):
