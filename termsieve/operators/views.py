@@ -18,27 +18,41 @@ from termsieve.functions import tables
 _MARK = None
 
 
+class Gaps:
+    """Positions of a folded text before which separators were dropped, told from what was kept of n."""
+
+    def __init__(self, kept: list[int], n: int):
+        self.kept, self.n = kept, n
+
+    def __contains__(self, at: int) -> bool:
+        before = self.kept[at - 1] if at else -1
+        here = self.kept[at] if at < len(self.kept) else self.n
+        return here - before > 1
+
+
 @dataclass
 class View:
-    """text; the half-open origin of each of its characters (None: the same offsets); positions after dropped separators."""
+    """text; the half-open origin of each of its characters; positions after dropped separators.
+
+    Without starts, offsets are the original's; without ends, each character comes from one.
+    """
 
     text: str
     starts: list[int] | None = None
     ends: list[int] | None = None
-    breaks: frozenset[int] | set[int] = frozenset()
+    breaks: frozenset[int] | set[int] | Gaps = frozenset()
 
     def origin(self, start: int, end: int) -> tuple[int, int]:
         """Code points of the original text that view positions start..end come from."""
+        n = len(self.text)
         if self.starts is None:
-            n = len(self.text)
             start = max(0, min(start, n))
             return start, max(start, min(end, n))
-        if not self.starts:
+        if not n:
             return 0, 0
-        n = len(self.starts)
         start = max(0, min(start, n - 1))
-        end = max(start + 1, min(end, n))
-        return self.starts[start], self.ends[end - 1]
+        last = max(start + 1, min(end, n)) - 1
+        return self.starts[start], self.starts[last] + 1 if self.ends is None else self.ends[last]
 
 
 class Normalizer:
@@ -49,16 +63,9 @@ class Normalizer:
         self.simple = dict(options.simplified) if options.simplified is not None else tables.common_simplified()
         # Characters by ordinal for str.translate; a missing one is worked out once.
         self.table = _Table(self.replacement)
-        # Beyond these ranges, and at these characters, a text is taken apart character by character.
-        single = [chr(c) for c in range(0x80, 0x300) if self._moves(chr(c))]
-        self.moving = re.compile(
-            "[" + "".join(map(re.escape, single))
-            + r"\u0300-\u036f\u0370-\u2fff\u3003-\u3040\u3097-\u30a0\u30fb-\u4dff\ua000-\uff00\uff5f-\U0010ffff]"
-        ).search
-
-    def _moves(self, char: str) -> bool:
-        r = self.replacement(char)
-        return r is _MARK or len(r) != 1
+        # Whether a character becomes anything but one character.
+        self.moves = _Moves(self.replacement)
+        self.finders: dict[frozenset[str], re.Pattern] = {}
 
     def replacement(self, char: str) -> str | None:
         """What a character becomes: nothing, one or more characters; None for a combining mark."""
@@ -86,26 +93,43 @@ class Normalizer:
         if text.isascii():
             low = text.lower() if self.o.lowercase else text
             return View(low.translate(_ASCII_BLANKS) if self.o.unify_whitespace else low)
-        if not self.moving(text):
+        moves = self.moves
+        moving = frozenset(c for c in set(text) if moves[c])
+        if not moving:
             return View(text.translate(self.table))
+        return self._moved(text, moving)
+
+    def _moved(self, text: str, moving: frozenset[str]) -> View:
+        if moving not in self.finders:
+            if len(self.finders) >= 1000:
+                self.finders.clear()
+            self.finders[moving] = re.compile("[" + "".join(map(re.escape, sorted(moving))) + "]")
         out: list[str] = []
         starts: list[int] = []
         ends: list[int] = []
-        table = self.table
-        for i, char in enumerate(text):
-            r = table[ord(char)]
+        at = 0
+        for found in self.finders[moving].finditer(text):
+            i = found.start()
+            if i > at:
+                out.append(text[at:i].translate(self.table))
+                starts.extend(range(at, i))
+                ends.extend(range(at + 1, i + 1))
+            at = i + 1
+            r = self.table[ord(text[i])]
             if r is _MARK:
                 # A mark belongs to the character before it; without one it goes.
                 if out:
-                    both = unicodedata.normalize("NFC", out[-1] + char)
+                    both = unicodedata.normalize("NFC", out[-1][-1] + text[i])
                     if len(both) == 1:
-                        out[-1] = both
+                        out[-1] = out[-1][:-1] + both
                     ends[-1] = i + 1
-                continue
-            for c in r:
-                out.append(c)
-                starts.append(i)
-                ends.append(i + 1)
+            elif r:
+                out.append(r)
+                starts.extend([i] * len(r))
+                ends.extend([i + 1] * len(r))
+        out.append(text[at:].translate(self.table))
+        starts.extend(range(at, len(text)))
+        ends.extend(range(at + 1, len(text) + 1))
         return View("".join(out), starts, ends)
 
     def string(self, text: str) -> str:
@@ -125,8 +149,36 @@ class _Table(dict):
         return value
 
 
+class _Moves(dict):
+    def __init__(self, replacement):
+        super().__init__()
+        self.replacement = replacement
+
+    def __missing__(self, char: str) -> bool:
+        r = self.replacement(char)
+        value = self[char] = r is _MARK or len(r) != 1
+        return value
+
+
+@lru_cache(maxsize=8)
+def _folding(leetspeak: bool, strip_separators: bool) -> tuple[dict[int, str | None], frozenset[str]]:
+    leet = tables.LEET if leetspeak else {}
+    dropped = frozenset(tables.SEPARATORS) - frozenset(leet) if strip_separators else frozenset()
+    return {ord(k): v for k, v in leet.items()} | {ord(c): None for c in dropped}, dropped
+
+
 def fold(view: View, o: FuzzyOptions) -> View:
     """The fuzzy view of a normalized one: letters for look-alikes, separators dropped, runs collapsed."""
+    if o.collapse_repeats or view.breaks:
+        return _fold_one_by_one(view, o)
+    table, dropped = _folding(o.leetspeak, o.strip_separators)
+    kept = [i for i, c in enumerate(view.text) if c not in dropped]
+    starts = kept if view.starts is None else [view.starts[i] for i in kept]
+    ends = None if view.ends is None else [view.ends[i] for i in kept]
+    return View(view.text.translate(table), starts, ends, Gaps(kept, len(view.text)))
+
+
+def _fold_one_by_one(view: View, o: FuzzyOptions) -> View:
     out: list[str] = []
     starts: list[int] = []
     ends: list[int] = []

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 
 from termsieve.config import FuzzyOptions, NormalizeOptions
 from termsieve.functions import tables
-from termsieve.operators.views import View, fold, fold_string, normalize_string, normalizer
+from termsieve.operators.views import View, _fold_one_by_one, fold, fold_string, normalize_string, normalizer
 
 N = NormalizeOptions()
 
@@ -51,7 +51,21 @@ def test_folded():
     assert fold_string("b4d-word", N, FuzzyOptions(strip_separators=False)) == "bad-word"
     v = fold(normalizer(N).view("xx b-a-d yy"), FuzzyOptions())
     assert (v.text, v.origin(2, 5)) == ("xxbadyy", (3, 8))
-    assert fold(View("a--"), FuzzyOptions()).breaks == {1}
+    for o in (FuzzyOptions(), FuzzyOptions(collapse_repeats=True)):
+        v = fold(View("-a--b-"), o)
+        assert [k in v.breaks for k in range(3)] == [True, True, True] and v.text == "ab"
+        assert [k in fold(View("a-bc"), o).breaks for k in range(4)] == [False, True, False, False]
+        assert 0 in fold(View("--"), o).breaks and 0 not in fold(View(""), o).breaks
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab-4!. ​é①", max_size=20))
+def test_bulk_folding_agrees_with_one_by_one(text):
+    view = normalizer(N).view(text)
+    a, b = fold(view, FuzzyOptions()), _fold_one_by_one(view, FuzzyOptions())
+    assert a.text == b.text
+    assert all(a.origin(i, j) == b.origin(i, j) for i in range(len(a.text)) for j in range(i + 1, len(a.text) + 1))
+    assert all((k in a.breaks) == (k in b.breaks) for k in range(len(a.text) + 1))
 
 
 def one_by_one(text: str) -> str:
