@@ -16,7 +16,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
 import uuid
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _END = 0x10000  # added to the last symbol of a word
-PIECES = 250_000
+PIECES = 400_000
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
@@ -180,26 +182,31 @@ class Encoder:
             return [whole]
         n = len(word)
         longest, length = [-1] * n, self.length
+        # Matches come by their ends, so the last one from a start is the longest.
         for end, token in self.machine.iter(word):
-            start = end + 1 - length[token]
-            if longest[start] < 0 or length[token] > length[longest[start]]:
-                longest[start] = token
+            longest[end + 1 - length[token]] = token
         open_end = [True] * (n + 1)
         out: list[int] = []
+        known, last = self.compatible, -1
         at, token = 0, longest[0]
         while at < n:
             if token >= 0:
                 end = at + length[token]
-                if open_end[end] and (not out or self.fits(out[-1], token)):
-                    out.append(token)
-                    at = end
-                    token = longest[at] if at < n else -1
-                else:
-                    token = self._shorter(token)
+                if open_end[end]:
+                    fit = True if last < 0 else known.get((last, token))
+                    if fit is None:
+                        fit = self.fits(last, token)
+                    if fit:
+                        out.append(token)
+                        at, last = end, token
+                        token = longest[at] if at < n else -1
+                        continue
+                token = self._shorter(token)
                 continue
             # Nothing fits here: give the entry before it up.
             open_end[at] = False
             token = out.pop()
+            last = out[-1] if out else -1
             at -= length[token]
             token = self._shorter(token)
         return out
@@ -216,17 +223,23 @@ class Encoder:
     def _plain(self, piece: str) -> bytes:
         if not piece:
             return b""
-        if self.far(piece):
+        low = piece.lower()
+        if low.isascii() and low.isalpha():
+            words = (low,)
+        elif self.far(piece):
             words = [w for w, _ in self.cut_far(self.normalized(piece))]
         else:
-            words = self.split(piece.lower())
+            words = self.split(low)
         out = []
         for word in words:
             # A word of ASCII that stands alone somewhere is known as a piece; others normalize again.
             known = self.words.get(word) or (self.pieces.get(word) if word.isascii() else None)
             if known is None:
-                raw = "".join(map(self.bytes_of.__getitem__, word.encode("utf-8", "surrogatepass")))
-                known = np.array(self.encode_word(raw[:-1] + chr(ord(raw[-1]) + _END)), dtype="<u4").tobytes()
+                if word.isascii() and word.isprintable():
+                    raw = word
+                else:
+                    raw = "".join(map(self.bytes_of.__getitem__, word.encode("utf-8", "surrogatepass")))
+                known = _little_endian(self.encode_word(raw[:-1] + chr(ord(raw[-1]) + _END)))
                 if len(word) <= 64 and (len(words) > 1 or not word.isascii()):
                     self.words[word] = known
             out.append(known)
@@ -240,17 +253,14 @@ class Encoder:
             self.words.clear()
             self.compatible.clear()
         parts = text.split() if text.isascii() and not _has_separators(text) else self.cut(text)
-        try:
-            return b"".join([pieces[p] for p in parts])
-        except KeyError:
-            for p in parts:
-                if p not in pieces:
-                    pieces[p] = self._piece(p)
-            out = b"".join([pieces[p] for p in parts])
-            for p in parts:
-                if len(p) > 200:
-                    pieces.pop(p, None)
-            return out
+        new = set(parts).difference(pieces)
+        for p in new:
+            pieces[p] = self._piece(p)
+        out = b"".join([pieces[p] for p in parts])
+        for p in new:
+            if len(p) > 200:
+                del pieces[p]
+        return out
 
     # -- decoding -------------------------------------------------------------------------
 
@@ -267,6 +277,13 @@ class Encoder:
         return self.blob[at].tobytes()
 
 
+def _little_endian(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 def _has_separators(text: str) -> bool:
     """Whether str.split() would cut where the vocabulary's white space doesn't."""
     return any(c in text for c in "\x1c\x1d\x1e\x1f")
