@@ -16,6 +16,7 @@ from termsieve.config import FuzzyOptions, NormalizeOptions
 from termsieve.functions import tables
 
 _MARK = None
+_STAYS, _LOWERS, _BECOMES, _MOVES = range(4)
 
 
 class Gaps:
@@ -63,8 +64,8 @@ class Normalizer:
         self.simple = dict(options.simplified) if options.simplified is not None else tables.common_simplified()
         # Characters by ordinal for str.translate; a missing one is worked out once.
         self.table = _Table(self.replacement)
-        # Whether a character becomes anything but one character.
-        self.moves = _Moves(self.replacement)
+        # What a character does: stays, is lower-cased, becomes another one, or anything else.
+        self.kinds = _Kinds(self.replacement, options.lowercase)
         self.finders: dict[frozenset[str], re.Pattern] = {}
 
     def replacement(self, char: str) -> str | None:
@@ -93,11 +94,19 @@ class Normalizer:
         if text.isascii():
             low = text.lower() if self.o.lowercase else text
             return View(low.translate(_ASCII_BLANKS) if self.o.unify_whitespace else low)
-        moves = self.moves
-        moving = frozenset(c for c in set(text) if moves[c])
-        if not moving:
-            return View(text.translate(self.table))
-        return self._moved(text, moving)
+        kinds = self.kinds
+        odd = [c for c in set(text) if kinds[c]]
+        moving = frozenset(c for c in odd if kinds[c] == _MOVES)
+        if moving:
+            return self._moved(text, moving)
+        if all(kinds[c] == _LOWERS for c in odd):
+            return View(text.lower() if odd else text)
+        # Few characters are exchanged one after the other, unless one becomes another of them.
+        if len(odd) <= 12 and not any(self.table[ord(c)] in odd for c in odd):
+            for c in odd:
+                text = text.replace(c, self.table[ord(c)])
+            return View(text)
+        return View(text.translate(self.table))
 
     def _moved(self, text: str, moving: frozenset[str]) -> View:
         if moving not in self.finders:
@@ -149,14 +158,23 @@ class _Table(dict):
         return value
 
 
-class _Moves(dict):
-    def __init__(self, replacement):
+class _Kinds(dict):
+    def __init__(self, replacement, lowercase: bool):
         super().__init__()
-        self.replacement = replacement
+        self.replacement, self.lowercase = replacement, lowercase
 
-    def __missing__(self, char: str) -> bool:
+    def __missing__(self, char: str) -> int:
         r = self.replacement(char)
-        value = self[char] = r is _MARK or len(r) != 1
+        # Capital sigma is lower-cased by its place in a word, which a single character doesn't have.
+        if r is _MARK or len(r) != 1:
+            value = _MOVES
+        elif r == char and (not self.lowercase or char.lower() == char):
+            value = _STAYS
+        elif self.lowercase and char != "\u03a3" and char.lower() == r:
+            value = _LOWERS
+        else:
+            value = _BECOMES
+        self[char] = value
         return value
 
 
