@@ -3,8 +3,9 @@
 A table hashes a vector to cells of width w along a few Gaussian directions. A query visits cells
 in the order of the estimated chance that a neighbour at distance R lies in them, the product over
 directions of the normal mass of the cell's interval around the query's projection, until the
-visited cells hold a set share of the chance. Candidates of all tables are merged, and their inner
-products with the query are computed in double precision. Largest inner product is made nearest
+visited cells hold a set share of the chance. Candidates of all tables are merged, a query with too
+few of them visits further cells until it has enough, and the inner products are computed in double
+precision. Largest inner product is made nearest
 distance by one further component, which gives all rows one length.
 
 Rows and queries are dealt into blocks, each pair of blocks is one task, and each returns only the
@@ -53,6 +54,38 @@ def candidates(rows: np.ndarray, queries: np.ndarray, o: AnnOptions, table: int)
 
     rows and queries are scaled so that the longest row has length 1, and extended to one length.
     """
+    members, chance = _cells(rows, queries, o, table)
+    visits = np.argsort(-chance, axis=1, kind="stable")
+    held = np.cumsum(np.take_along_axis(chance, visits, axis=1), axis=1)
+    # A cell is visited while the cells before it hold less than the share.
+    visited = np.zeros_like(chance, dtype=bool)
+    np.put_along_axis(visited, visits, np.c_[np.zeros(len(queries)), held[:, :-1]] < o.share * held[:, -1:], axis=1)
+    yield from _visitors(members, visited)
+
+
+def further(rows: np.ndarray, queries: np.ndarray, o: AnnOptions, missing: np.ndarray, open_: np.ndarray):
+    """Like candidates, for queries that still lack missing rows, of those marked in open_.
+
+    The first table's cells hold every row, so going on through them ends with enough or with all.
+    """
+    members, chance = _cells(rows, queries, o, 0)
+    gain = np.stack([open_[:, at].sum(axis=1) for at in members], axis=1)
+    visits = np.argsort(-chance, axis=1, kind="stable")
+    gained = np.cumsum(np.take_along_axis(gain, visits, axis=1), axis=1)
+    visited = np.zeros_like(chance, dtype=bool)
+    np.put_along_axis(visited, visits, np.c_[np.zeros(len(queries), dtype=int), gained[:, :-1]] < missing[:, None], axis=1)
+    yield from _visitors(members, visited & (gain > 0))
+
+
+def _visitors(members: list[np.ndarray], visited: np.ndarray):
+    for c, at in enumerate(members):
+        q = np.flatnonzero(visited[:, c])
+        if len(q):
+            yield at, q
+
+
+def _cells(rows: np.ndarray, queries: np.ndarray, o: AnnOptions, table: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Row positions of each occupied cell of a table, and each query's estimated chance in each cell."""
     rng = np.random.default_rng(o.seed + table)
     directions = rng.standard_normal((rows.shape[1], o.directions))
     shift = rng.uniform(0, o.width, o.directions)
@@ -69,15 +102,7 @@ def candidates(rows: np.ndarray, queries: np.ndarray, o: AnnOptions, table: int)
         taken, which = np.unique(own[:, d], return_inverse=True)
         low = taken[None, :] * o.width - at[:, d : d + 1]
         chance *= _mass(low / o.radius, (low + o.width) / o.radius)[:, which]
-    visits = np.argsort(-chance, axis=1, kind="stable")
-    held = np.cumsum(np.take_along_axis(chance, visits, axis=1), axis=1)
-    # A cell is visited while the cells before it hold less than the share.
-    visited = np.zeros_like(chance, dtype=bool)
-    np.put_along_axis(visited, visits, np.c_[np.zeros(len(queries)), held[:, :-1]] < o.share * held[:, -1:], axis=1)
-    for c in range(len(own)):
-        q = np.flatnonzero(visited[:, c])
-        if len(q):
-            yield order[starts[c] : ends[c]], q
+    return [order[a:b] for a, b in zip(starts, ends, strict=True)], chance
 
 
 def extended(x: np.ndarray, longest: float) -> np.ndarray:
@@ -102,7 +127,16 @@ def _search(o: AnnOptions, longest: dict[int, float]):
         for t in range(o.tables):
             for at, who in candidates(ext_x, ext_q, o, t):
                 score[np.ix_(who, at)] = q[who] @ x[at].T
-        score[q_id[:, None] == x_id[None, :]] = -np.inf
+        own = q_id[:, None] == x_id[None, :]
+        score[own] = -np.inf
+        # Every block gives as many as are asked for, or all it has, so that all blocks together do.
+        missing = np.minimum(o.k, (~own).sum(axis=1)) - (score > -np.inf).sum(axis=1)
+        short = np.flatnonzero(missing > 0)
+        if len(short):
+            unseen = ~own[short] & (score[short] == -np.inf)
+            for at, who in further(ext_x, ext_q[short], o, missing[short], unseen):
+                score[np.ix_(short[who], at)] = q[short[who]] @ x[at].T
+            score[own] = -np.inf
         keep = min(o.k, len(x))
         bound = np.partition(score, len(x) - keep, axis=1)[:, len(x) - keep]
         # Products of matrices may round otherwise than one pair's sum: near ties go on.

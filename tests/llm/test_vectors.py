@@ -75,3 +75,22 @@ def test_few_rows_ties_and_none(spark):
     df = frame(spark, [(0, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [1.0, 0.0], 0), (3, [0.5, 0.5, 0.5], 0), *ODD[:6]])
     assert [(r.rank, r.vec_id, r.score) for r in nearest(df, df.where("vec_id = 0"), AnnOptions(share=1.0)).orderBy("rank").collect()] == [(1, 1, 1.0), (2, 2, 1.0)]
     assert nearest(df, df.where("vec_id = 3")).count() == 0 and nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_no_query_comes_short_with_the_default_options(spark):
+    """20 rows for each query, or all others where there are fewer, also for a rare dimension and mixed lengths."""
+    rng = np.random.default_rng(8)
+    sizes = {63: 8, 64: 25, 65: 21}
+    rows = [(d * 1000 + i, rng.normal(size=d).tolist(), 0) for d, n in sizes.items() for i in range(n)]
+    rows += [(1000 + i, (rng.normal(size=62) * (50 if i == 0 else 1)).tolist(), 0) for i in range(500)]
+    df = frame(spark, rows)
+    got = {}
+    for r in nearest(df, df).collect():
+        assert r.query_id != r.vec_id
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    for d, n in (sizes | {1: 500}).items():
+        for i in range(n):
+            want = min(20, n - 1)
+            assert sorted(k for k, _ in got[d * 1000 + i]) == list(range(1, want + 1)) and len({v for _, v in got[d * 1000 + i]}) == want
+    few = frame(spark, [(0, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [-1.0, 0.0], 0)])
+    assert [(r.rank, r.vec_id, r.score) for r in nearest(few, few.where("vec_id = 0")).orderBy("rank").collect()] == [(1, 1, 1.0), (2, 2, -1.0)]
