@@ -1,9 +1,10 @@
 """Licences of files from TF-IDF cosines to templates, and from the nearest directory above.
 
-Texts are cut into sentences and lines; those that speak of a licence, and the whole text of files
-named like one, become sparse vectors over the templates' words, weighted by the words' document
-frequency in the whole corpus. The best cosine to a template decides. A file without a licence of
-its own takes that of the nearest directory above it that holds a licence file.
+Texts are cut into sentences and lines; these, and the whole text of files named like a licence,
+become sparse vectors over the templates' words, weighted by the words' document frequency in the
+whole corpus. The best cosine to a template decides. Only pieces without a word that every piece
+near enough to a template holds are passed over. A file without a licence of its own takes that of
+the nearest directory above it that holds a licence file.
 """
 
 from __future__ import annotations
@@ -38,7 +39,8 @@ TEMPLATES = (
     ("cc0-1.0", "To the extent possible under law, the author has waived all copyright under CC0 1.0."),
     ("proprietary", "Copyright, all rights reserved."),
 )
-HINT = r"(?i)licen[cs]e|copyright|all rights reserved|permission is hereby granted|redistribution and use"
+# What has a word at all, and so can be compared.
+HINT = r"(?i)[a-z0-9]"
 FILE = r"(?i)(?:^|/)(?:licen[cs]e|copying|notice)(?:[.-][^/]*)?$"
 
 
@@ -81,6 +83,27 @@ def template_weights(n: int, df: dict[str, int], o: LicenseOptions) -> tuple[dic
     return idf, out
 
 
+def gate(df: dict[str, int], templates: list[tuple[str, dict[str, float]]], threshold: float) -> str:
+    """A pattern in every lower-case piece whose cosine to a template reaches the threshold.
+
+    By Cauchy and Schwarz a cosine is at most the length of the template's part over the words that
+    the piece holds. The commonest words are left out as long as no template's part over all words
+    left out is as long as the threshold: what reaches it holds one of the others.
+    """
+    if threshold <= 0:
+        return HINT
+    # Scores are rounded to nine digits before they are compared.
+    most = (threshold - 1e-8) ** 2
+    left, needed = [0.0] * len(templates), []
+    for w in sorted(df, key=lambda w: (-df[w], w)):
+        more = [a + v.get(w, 0.0) ** 2 for a, (_, v) in zip(left, templates, strict=True)]
+        if max(more) < most:
+            left = more
+        else:
+            needed.append(w)
+    return rf"(?<![a-z0-9])(?:{'|'.join(needed)})(?![a-z0-9])" if needed else HINT
+
+
 def _map(d: dict[str, float]) -> Column:
     return F.create_map(*[F.lit(v) for p in sorted(d.items()) for v in p])
 
@@ -121,15 +144,17 @@ def scan_licenses(files: DataFrame, options: LicenseOptions | None = None, path_
     An empty table gives an empty result.
     """
     o = options or LicenseOptions()
-    idf, templates = template_weights(*document_frequencies(files, o, text_col), o)
+    n, df = document_frequencies(files, o, text_col)
+    idf, templates = template_weights(n, df, o)
+    needed = gate(df, templates, o.threshold)
     text = F.coalesce(F.col(text_col), F.lit(""))
     is_file = F.coalesce(F.col(path_col).rlike(FILE), F.lit(False))
-    parts = F.filter(F.split(text, r"\n|(?<=[.!?])\x20", -1), lambda s: s.rlike(HINT))
+    parts = F.filter(F.split(text, r"\n|(?<=[.!?])\x20", -1), lambda s: F.lower(s).rlike(needed))
     pieces = F.when(is_file, F.concat(parts, F.array(text))).otherwise(parts)
     judged = F.transform(pieces, lambda s: _best(_words(s), idf, templates))
     best = F.array_min(F.filter(judged, lambda b: -b["less"] >= o.threshold))
     kept = [c for c in files.columns if c not in ("licence", "score", "scope", "from_path")]
-    own = files.select(*[F.col(f"`{c}`") for c in kept]).withColumn("_best", F.when(is_file | text.rlike(HINT), best))
+    own = files.select(*[F.col(f"`{c}`") for c in kept]).withColumn("_best", F.when(is_file | F.lower(text).rlike(needed), best))
     scratch = Scratch(files.sparkSession, "licences")
     folders = (
         own.where(is_file & F.col("_best").isNotNull())

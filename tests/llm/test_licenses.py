@@ -1,4 +1,5 @@
 import math
+import random
 import re
 
 from termsieve.llm.license_scan import FILE, HINT, TEMPLATES, scan_licenses, words
@@ -60,3 +61,18 @@ def test_as_by_the_definition(spark):
 def test_without_files_or_rows(spark):
     df = spark.createDataFrame([("a.py", "x"), ("b.py", None)], "path string, text string")
     assert {r.scope for r in scan_licenses(df).collect()} == {"none"} and scan_licenses(df.limit(0)).count() == 0
+
+
+def test_no_piece_that_reaches_the_threshold_is_passed_over(spark):
+    """Notices in other words than the templates' usual phrases, and random words of the templates, each compared to all."""
+    rng = random.Random(3)
+    notices = ["Released under CC BY 4.0.", "x\nUnder the terms of the Mozilla Public, v. 2.0.\ny", "CC BY-NC 4.0", "This program is free software: you can redistribute it and/or modify it."]
+    rows = [(f"n{i}.txt", t) for i, t in enumerate(notices)] + [(f"f{i}.txt", "the of and in it 4 mit under plain prose") for i in range(40)]
+    for i in range(120):
+        ws = words(rng.choice(TEMPLATES)[1])
+        rows.append((f"r{i}.txt", " ".join(rng.sample(ws, rng.randint(1, len(ws))) + ["prose"] * rng.randint(0, 2))))
+    df = spark.createDataFrame(rows, "path string, text string")
+    got = [(r.path, r.licence, round(r.score, 9), r.scope, r.from_path) for r in scan_licenses(df).collect()]
+    assert {p: lic for p, lic, *_ in got if p == "n0.txt"} == {"n0.txt": "cc-by-4.0"}
+    assert sorted(map(repr, got)) == brute(rows) and 20 < sum(g[3] == "own" for g in got) < 120
+    assert all(re.search(HINT, t) for _, t in rows), "brute leaves no piece out"
