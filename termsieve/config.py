@@ -32,7 +32,7 @@ class DuplicateBatchIdError(ValueError):
 
 @dataclass(frozen=True)
 class NormalizeOptions:
-    """Steps of the normalized view; simplified: traditional to simplified characters, None for the common ones built in."""
+    """Steps of the normalized view; simplified: traditional to simplified characters, None for the table built in."""
 
     nfkc: bool = True
     lowercase: bool = True

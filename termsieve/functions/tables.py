@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .simplified import PAIRS
+
 # Code points that never influence matching.
 INVISIBLE = (
     "\u00ad\u180e\u200b\u200c\u200d\u200e\u200f\u2028\u2029\u202a\u202b\u202c\u202d\u202e"
@@ -28,20 +30,9 @@ LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@
 WORD_CLASS = "0-9A-Za-z_\u00c0-\u024f\u0370-\u04ff"
 TRIM_CLASS = "\\t\\n\\x0B\\f\\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
-# Common traditional characters, each before its simplified form. The full table is a
-# parameter (NormalizeOptions.simplified, sources.terms.read_character_table).
-COMMON_SIMPLIFIED = (
-    "臺台灣湾獨独張张內内習习簡简體体國国學学會会來来對对時时說说們们個个這这為为後后開开關关發发經经長长東东車车"
-    "門门問问間间聞闻馬马鳥鸟魚鱼龍龙麗丽麼么買买賣卖書书報报場场壞坏聲声處处複复夠够頭头奪夺奮奋婦妇媽妈嬰婴孫孙"
-    "實实寶宝審审寫写將将爾尔塵尘層层島岛嶺岭幣币帥帅帶带幫帮廣广慶庆應应廟庙廢废異异強强彈弹當当錄录徹彻憶忆"
-    "憂忧懷怀態态總总戀恋戰战戶户撲扑執执擴扩掃扫揚扬擾扰撫抚搶抢護护擔担擬拟擁拥擇择擊击據据損损換换搗捣"
-    "無无舊旧顯显曬晒機机殺杀雜杂權权條条楊杨極极構构槍枪標标樣样橋桥檢检歐欧歡欢殘残毀毁氣气漢汉湯汤溝沟"
-    "滅灭爭争愛爱爺爷獎奖獄狱獲获現现環环畫画療疗盡尽監监盤盘礦矿禮礼離离種种稱称"
-)
-
-
 def common_simplified() -> dict[str, str]:
-    return dict(zip(COMMON_SIMPLIFIED[::2], COMMON_SIMPLIFIED[1::2], strict=True))
+    """The built-in table of simplified characters, applied unless NormalizeOptions.simplified has another."""
+    return dict(zip(PAIRS[::2], PAIRS[1::2], strict=True))
 
 
 def is_invisible(char: str) -> bool:

@@ -31,6 +31,15 @@ def test_steps_can_be_switched_off():
     assert normalize_string("薴", NormalizeOptions(simplified=(("薴", "苧"), ("苧", "苎")))) == "苧"
 
 
+def test_whole_table_of_simplified_characters_is_the_default():
+    # Pairs as the reference's table has them, beyond the basic plane and outside the common ones too.
+    pairs = {"電": "电", "話": "话", "黨": "党", "賭": "赌", "車": "车", "銀": "银", "藥": "药", "貓": "猫", "㑯": "㑔", "㗲": "𠵾", "薴": "苧", "苧": "苎"}
+    assert {a: normalize_string(a) for a in pairs} == pairs
+    assert normalize_string("".join(pairs)) == "".join(pairs.values())
+    table = tables.common_simplified()
+    assert len(table) == 3222 and all(len(a) == len(b) == 1 and a != b for a, b in table.items())
+
+
 def test_origins():
     v = normalizer(N).view("a​①ＢC")
     assert (v.text, v.origin(0, 1), v.origin(1, 2), v.origin(2, 4), v.origin(0, 4)) == ("a1bc", (0, 1), (2, 3), (3, 5), (0, 5))
