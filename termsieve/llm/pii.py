@@ -202,8 +202,9 @@ def find_pii(docs: DataFrame, options: PiiOptions | None = None, text_col: str =
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = docs.withColumns(base_spans(text))
     fixed = F.concat(*[F.col(k) for k in KINDS])
-    number = text.rlike(r"[0-9][0-9().\x20/-]{6}")
-    at = text.rlike(r"(?i)[\[({]at[\])}]|\x20at\x20[^.]{0,80}\x20dot\x20|\[dot\]|\(dot\)")
+    # What every proposal holds: two groups of digits or a card's first twelve; an address up to its first dot.
+    number = text.rlike(r"[0-9]{2}\)?[\x20./-]{1,2}[0-9]{2}|[0-9](?:[\x20.-]?[0-9]){11}")
+    at = text.rlike(r"[\[({]at[\])}]|\x20at\x20{1,2}[A-Za-z0-9-]{2,63}(?:\x20?[.\[({]|\x20{1,2}dot\x20)")
     lists = [
         F.when(at if kind == "email" else number, _proposals(text, kind, pattern, model, bounds[kind])).otherwise(F.array().cast(SCORED))
         for kind, pattern in GENERATORS

@@ -53,6 +53,21 @@ def test_trees_add_disguised_data_and_leave_plain_numbers(spark):
     assert [r.spans for r in rows] == ["phone:8:22", "email:5:29", "", "", "", "", ""]
 
 
+def test_what_is_found_does_not_depend_on_the_rest_of_the_text(spark):
+    texts = [
+        "write to anna at acme {dot} com", "mail anna at sub.acme dot com", "e-mail anna at acme.com", "mail anna at  acme .com", "write anna{at}acme.com", "mail bob at acme  dot com", "tel 12-345",
+        "call 12 34", "call 555-12", "tel (12) 34", "card 123456789012", "pay 1-2-3-4-5-6-7-8-9-0-1-2-3", "he is at home. Then", "at 12.05", "no at all dot",
+    ]
+    rest = "\n# (743) 555-3824 #\njohn [at] acme [dot] com"
+    df = spark.createDataFrame([(i, t + s) for i, t in enumerate(texts) for s in ("", rest)], "doc_id long, text string")
+    found = {}
+    for r in digest(find_pii(df)).collect():
+        n = len(texts[r.doc_id])
+        found.setdefault(r.doc_id, set()).add(tuple(x for x in r.spans.split(",") if x and int(x.split(":")[1]) < n))
+    assert {texts[i]: f for i, f in found.items() if len(f) > 1} == {}
+    assert found[0] == {("email:9:31",)} and found[1] == {("email:5:29",)} and found[6] == {("phone:4:10",)}
+
+
 def test_features_agree_on_both_sides(spark):
     examples, _ = written_examples(400, 3)
     for kind in ("phone", "card", "email"):
