@@ -133,6 +133,29 @@ INSPECT = r"""array_to_string(list_filter([
   CASE WHEN regexp_matches(line, '^[0-9]+$') THEN 'digits-only' END, CASE WHEN regexp_matches(line, '^[\p{P}\p{S}]+$') THEN 'punctuation-only' END,
   CASE WHEN regexp_matches(line, '(?i)<[^>]{1,20}>|&[a-z]{2,10};') THEN 'html-like' END], lambda x: x IS NOT NULL), ',')"""
 
+# The same over every word of every document, with all issues and languages.
+WHOLE_LINES = r"""
+docs AS (SELECT doc_id, text, coalesce(source, 'unsourced') AS source FROM documents),
+files AS (SELECT source AS source_path, row_number() OVER (ORDER BY source) - 1 AS file_seq FROM (SELECT DISTINCT source FROM docs)),
+words AS (SELECT source AS source_path, doc_id, unnest(string_split(text, ' ')) AS term, generate_subscripts(string_split(text, ' '), 1) - 1 AS pos FROM docs),
+lines AS (SELECT w.source_path, file_seq, doc_id * 100000 + pos AS line_no, term FROM words w JOIN files USING (source_path) WHERE term <> ''),
+known AS (SELECT term, string_split_regex(nullif(issues, ''), ',') AS issues, language FROM (SELECT term, {inspect} AS issues, {language} AS language FROM (SELECT DISTINCT term FROM lines))),
+sound AS (SELECT * FROM known WHERE NOT list_has_any(coalesce(issues, []), ['control-character', 'punctuation-only', 'too-long'])),
+config AS (SELECT *, TRY_CAST(substr(source_path, 4) AS INTEGER) AS i FROM files),
+mapped AS (SELECT *, CASE WHEN i BETWEEN 0 AND 19 THEN 'c' || (i % 7) ELSE source_path END AS category FROM config),
+cats AS (SELECT category, ['low', 'medium', 'high'][rank] AS severity, rank FROM (SELECT category, coalesce(arg_min(i, file_seq) % 3, 0) + 1 AS rank FROM mapped GROUP BY category)),
+owners AS (SELECT file_seq, source_path, m.category, severity, rank FROM mapped m JOIN cats USING (category)),
+per_file AS (SELECT term, l.file_seq, min(line_no) AS line_no, count(*) AS n FROM lines l GROUP BY ALL),
+placed AS (SELECT p.*, o.source_path, o.category, o.severity, o.rank, row_number() OVER w AS nth, max(rank) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+  FROM per_file p JOIN owners o USING (file_seq) WINDOW w AS (PARTITION BY term ORDER BY p.file_seq)),
+top AS (SELECT * FROM placed QUALIFY row_number() OVER (PARTITION BY term ORDER BY rank DESC, file_seq) = 1),
+terms AS (SELECT p.term, t.category, t.severity, t.source_path, arg_min(p.source_path, p.nth) AS first_path, count(*) AS files, sum(p.n) AS lines,
+  count(*) FILTER (p.nth > 1 AND p.rank > p.before) AS reassigned, any_value(s.issues) IS NOT NULL AS needs_review, any_value(s.language) AS language
+  FROM placed p JOIN top t ON t.term = p.term JOIN sound s ON s.term = p.term GROUP BY p.term, t.category, t.severity, t.source_path)"""
+
+LANGUAGE = r"""CASE WHEN regexp_matches(term, '[\x{3400}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{3ffff}\x{3040}-\x{30ff}\x{ac00}-\x{d7af}]') THEN 'zh'
+  WHEN regexp_matches(term, '[A-Za-z\x{c0}-\x{24f}]') AND NOT regexp_matches(term, '[^\x00-\x7F\x{c0}-\x{24f}]') THEN 'en' ELSE 'other' END"""
+
 
 def _select(ids) -> str:
     where = "" if ids is None else f"AND category IN ({', '.join(repr(i) for i in ids)})"
@@ -145,6 +168,7 @@ SNAP = (
 
 
 def oracle_sql() -> dict[str, str]:
+    whole = WHOLE_LINES.replace("{inspect}", INSPECT.replace("line)", "term)").replace("line,", "term,")).replace("{language}", LANGUAGE)
     enabled = sorted({c for _, c, _ in LEXICON} - set(DISABLED))
     batch = """CASE WHEN doc_id % 10 = 0 THEN 'TEXT_REQUIRED' WHEN doc_id % 10 = 1 OR text = '' THEN 'TEXT_EMPTY' WHEN doc_id % 10 = 2 THEN 'TEXT_BLANK'
       WHEN length(text) > 4000 THEN 'TEXT_TOO_LONG' ELSE 'OK' END"""
@@ -213,6 +237,12 @@ count(*) - count(DISTINCT lower(term)) AS collisions, count(*) FILTER (needs_rev
         "issue_counts": f"WITH {LINES} SELECT 'single-character' AS issue, count(*) AS n FROM lines WHERE length(term) = 1 HAVING count(*) > 0",
         "per_category": f"WITH {LINES} SELECT c.category, c.severity, count(t.term) AS n FROM cats c LEFT JOIN terms t USING (category) GROUP BY ALL",
         "per_source": f"WITH {LINES} SELECT first_path, count(*) AS n FROM terms GROUP BY 1",
+        "dedupe_attribution_whole": f"WITH {whole} SELECT term, category, severity, source_path, first_path, files - 1 AS others, needs_review, language FROM terms",
+        "build_report_counters_whole": f"""WITH {whole} SELECT CAST(sum(lines) AS BIGINT) AS lines, count(*) AS terms, CAST(sum(files - 1) AS BIGINT) AS cross_source, CAST(sum(reassigned) AS BIGINT) AS reassigned,
+count(*) - count(DISTINCT replace(lower(term), chr(10), ' ')) AS collisions, count(*) FILTER (needs_review) AS needs_review FROM terms""",
+        "issue_counts_whole": f"WITH {whole} SELECT issue, count(*) AS n FROM (SELECT unnest(issues) AS issue FROM lines JOIN known USING (term)) GROUP BY 1",
+        "per_category_whole": f"WITH {whole} SELECT c.category, c.severity, count(t.term) AS n FROM cats c LEFT JOIN terms t USING (category) GROUP BY ALL",
+        "per_source_whole": f"WITH {whole} SELECT first_path, count(*) AS n FROM terms GROUP BY 1",
         "snapshot_diff": f"""WITH b AS ({SNAP.format(where="doc_id % 3 <> 0")}), a AS ({SNAP.format(where="doc_id % 3 <> 1 AND doc_id % 50 <> 7")})
 SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'added' WHEN a.path IS NULL THEN 'removed' ELSE 'changed' END AS change,
   CAST(len(list_filter(coalesce(a.terms, []), lambda x: NOT list_contains(coalesce(b.terms, []), x))) AS BIGINT) AS added,

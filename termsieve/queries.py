@@ -233,48 +233,54 @@ def derive_category_id(spark, d):
     return _read(spark, d, "pages").select("page_id", T.derive_category_id(F.col("url")).alias("category"))
 
 
-def _term_lines(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Sources as files, their documents' words as lines."""
-    docs = _read(spark, d, "documents").where("source is not null")
+def _term_lines(spark, d, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Sources as files, their documents' words as lines; short words of letters only unless the whole texts are asked for."""
+    docs = _read(spark, d, "documents")
+    docs = docs.withColumn("source", F.coalesce("source", F.lit("unsourced"))) if whole else docs.where("source is not null")
     files = docs.select(F.col("source").alias("source_path")).distinct()
     files = files.withColumn("file_seq", F.row_number().over(Window.orderBy("source_path")) - 1)
     words = docs.select(F.col("source").alias("source_path"), "doc_id", F.posexplode(F.split("text", " ")).alias("at", "w"))
-    lines = words.where("length(w) between 1 and 12 and w rlike '^[A-Za-z]+$'").select("source_path", (F.col("doc_id") * 100000 + F.col("at")).alias("line_no"), F.col("w").alias("term"))
+    lines = words.where("w <> ''" if whole else "length(w) between 1 and 12 and w rlike '^[A-Za-z]+$'").select("source_path", (F.col("doc_id") * 100000 + F.col("at")).alias("line_no"), F.col("w").alias("term"))
     return lines.join(files, "source_path"), files
 
 
-def _attributed(spark, d) -> dict[str, DataFrame]:
-    lines, files = _term_lines(spark, d)
+def _attributed(spark, d, whole: bool = False) -> dict[str, DataFrame]:
+    lines, files = _term_lines(spark, d, whole)
     rows = [(f"src{i}", f"c{i % 7}", None, ("low", "medium", "high")[i % 3], None, None) for i in range(20)]
     config = spark.createDataFrame(rows, "source_path string, category string, display_name string, severity string, default_enabled boolean, description string")
     return attribute(lines, files, config)
 
 
-def dedupe_attribution(spark, d):
-    t = _attributed(spark, d)["terms"]
+def dedupe_attribution(spark, d, whole=False):
+    t = _attributed(spark, d, whole)["terms"]
     return t.select("term", "category", "severity", "source_path", "first_path", F.size("also_found_in").cast("long").alias("others"), "needs_review", "language")
 
 
-def build_report_counters(spark, d):
-    a = _attributed(spark, d)
+def build_report_counters(spark, d, whole=False):
+    a = _attributed(spark, d, whole)
     return a["terms"].agg(
         F.sum("lines").alias("lines"), F.count("*").alias("terms"), F.sum(F.col("files") - 1).alias("cross_source"), F.sum("reassigned").alias("reassigned"),
         (F.count("*") - F.count_distinct("normalized")).alias("collisions"), F.count_if("needs_review").alias("needs_review"),
     )
 
 
-def issue_counts(spark, d):
-    return count_issues(_attributed(spark, d)["odd"])
+def issue_counts(spark, d, whole=False):
+    return count_issues(_attributed(spark, d, whole)["odd"])
 
 
-def per_category(spark, d):
-    a = _attributed(spark, d)
+def per_category(spark, d, whole=False):
+    a = _attributed(spark, d, whole)
     counts = a["terms"].groupBy("category").agg(F.count("*").alias("n"))
     return a["categories"].select(F.col("id").alias("category"), "severity").join(counts, "category", "left").select("category", "severity", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def per_source(spark, d):
-    return _attributed(spark, d)["terms"].groupBy("first_path").agg(F.count("*").alias("n"))
+def per_source(spark, d, whole=False):
+    return _attributed(spark, d, whole)["terms"].groupBy("first_path").agg(F.count("*").alias("n"))
+
+
+def over_whole_texts(query: Callable) -> Callable:
+    """A query of the lexicon build over every word of every document."""
+    return lambda spark, d: query(spark, d, whole=True)
 
 
 def snapshot_diff(spark, d):
@@ -312,6 +318,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         detect_language, inspect_term, derive_category_id, dedupe_attribution, build_report_counters, issue_counts, per_category, per_source, snapshot_diff, artifact_round_trip,
         category_by_source_rollup, toxic_label_confusion,
     )
-    return {f.__name__: f for f in plain} | {
+    builds = (dedupe_attribution, build_report_counters, issue_counts, per_category, per_source)
+    return {f.__name__: f for f in plain} | {f"{f.__name__}_whole": over_whole_texts(f) for f in builds} | {
         "lexicon_select_default": lexicon_select(["all"]), "lexicon_select_all": lexicon_select(["*"]), "lexicon_select_explicit": lexicon_select(["common-en", "url"]),
     }
