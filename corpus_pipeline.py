@@ -37,8 +37,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and their digest."""
-    return encode_texts(docs, vocabulary_path(), decode=False).select("doc_id", "n_tokens", "ids_sha256", "ids")
+    """doc_id, n_tokens, ids, their digest and that of the text decoded from them."""
+    return encode_texts(docs, vocabulary_path(), decode=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
 
 
 STAGES = [

@@ -1,5 +1,9 @@
+import hashlib
+
+from tokenizers import Tokenizer
+
 import corpus_pipeline
-from termsieve.llm.queries import queries
+from termsieve.llm.queries import queries, vocabulary_path
 
 from ..oracle import compare, connect
 
@@ -32,6 +36,15 @@ def test_stages(spark):
     assert out.count() == len(rows) and all(r.n_tokens == len(r.ids) > 0 for r in out.collect())
 
 
+def test_last_stage_tells_the_decoded_text(spark):
+    texts = ["Plain words.", "Über 12 – 語", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    lib = Tokenizer.from_file(vocabulary_path())
+    want = {i: lib.decode(lib.encode(t, add_special_tokens=False).ids, skip_special_tokens=False) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.decoded_sha256 for r in out} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}
+
+
 def test_run_and_empty_input(spark):
     assert corpus_pipeline.run(spark, SF).count() > 200
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
