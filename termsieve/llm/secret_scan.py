@@ -16,13 +16,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import by_start, empty, found, let, normal_cdf, tagged
+from .spans import by_start, empty, found, let, normal_cdf, outside, tagged
 
 ASSIGN = r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{16,}"
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_="
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+DIGITS = UPPER + LOWER + "0123456789+/-_="
 
 
 @dataclass(frozen=True)
@@ -48,7 +49,7 @@ def _statistics(token: Column, o: SecretOptions) -> Column:
         .otherwise(64.0)
     )
     chars = F.filter(F.split(token, ""), lambda c: c != "")
-    first = F.struct(k.alias("k"), F.length(token).cast("double").alias("n"), chars.alias("chars"))
+    first = F.struct(k.alias("k"), F.length(token).cast("double").alias("n"), chars.alias("chars"), token.alias("hit"))
     return let(first, lambda t: let(_placed_chars(t), lambda u: let(_scores(t, u), lambda z: _p_values(t, z, o))))
 
 
@@ -68,8 +69,9 @@ def _placed_chars(t: Column) -> Column:
 def _scores(t: Column, dev: Column) -> Column:
     """Standard scores of the three tests, and the chi-squared statistic itself."""
     n, k = t["n"], t["k"]
+    # What a character's removal shortens the token by is how often it stands there.
     squares = F.aggregate(
-        F.transform(F.array_distinct(t["chars"]), lambda d: F.size(F.filter(t["chars"], lambda c: c == d)).cast("double")),
+        F.transform(F.array_distinct(t["chars"]), lambda d: (n - F.length(F.replace(t["hit"], d, F.lit(""))))),
         F.lit(0.0), lambda a, c: a + c * c,
     )
     pairs = F.arrays_zip(F.slice(dev, F.lit(1), F.size(dev) - 1).alias("x"), F.slice(dev, F.lit(2), F.size(dev)).alias("y"))
@@ -104,10 +106,15 @@ def _p_values(t: Column, z: Column, o: SecretOptions) -> Column:
     return F.struct(n.alias("n"), p_text.alias("p_text"), p_least.alias("p_least"))
 
 
+def _cases(token: Column) -> Column:
+    """The token's letters as A and a by their case, without all else."""
+    return F.translate(token, UPPER + LOWER + "0123456789+/-_=", "A" * 26 + "a" * 26)
+
+
 def _random_tokens(text: Column, o: SecretOptions) -> Column:
     pattern = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{o.min_length},}}"
-    # A run with neither a digit nor both cases is a word or a rule of dashes.
-    worth = lambda s: s["hit"].rlike("[0-9]") & s["hit"].rlike("[A-Za-z]") | s["hit"].rlike("(?:[A-Z].*[a-z].*){6}")
+    # A run with neither a digit nor six capitals before small letters is a word or a rule of dashes.
+    worth = lambda s: s["hit"].rlike("[0-9]") & s["hit"].rlike("[A-Za-z]") | (F.regexp_count(_cases(s["hit"]), F.lit("Aa")) >= 6)
     tokens = F.filter(found(text, pattern), worth)
     tested = F.transform(
         tokens, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["hit"].alias("hit"), _statistics(s["hit"], o).alias("st"))
@@ -165,8 +172,7 @@ def find_secrets(docs: DataFrame, options: SecretOptions | None = None, text_col
         }
     )
     long_token = rf"[A-Za-z0-9+/_=-]{{{o.min_length}}}"
-    base = F.concat("assign", "access", "hex_runs")
-    added = F.filter(_random_tokens(text, o), lambda r: ~F.exists(base, lambda b: (b["start"] <= r["start"]) & (b["end"] >= r["end"])))
+    added = outside(F.concat("assign", "access", "hex_runs"), _random_tokens(text, o))
     return with_base.withColumn("random", F.when(text.rlike(long_token), added).otherwise(empty()))
 
 

@@ -14,21 +14,28 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def running(values: Column) -> Column:
-    """Sums of the values before each position; works in chunks, so long arrays stay cheap."""
-    return let(values, _running)
+def _plus(a: Column, x: Column) -> Column:
+    return a + x
 
 
-def _running(values: Column) -> Column:
+def running(values: Column, op=_plus, zero: int = 0) -> Column:
+    """What op makes of the values before each position, starting from zero (sums, if nothing is said).
+
+    op is associative and leaves zero's partner as it is; the work is done in chunks, so long arrays stay cheap.
+    """
+    return let(values, lambda v: _running(v, op, zero))
+
+
+def _running(values: Column, op, zero: int) -> Column:
     chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _CHUNK).cast("int")), lambda c: F.slice(values, c * _CHUNK + 1, _CHUNK))
-    step = lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))
-    return let(chunks, lambda chs: _joined(chs, step))
+    step = lambda acc, x: F.concat(acc, F.array(op(F.element_at(acc, -1), x)))
+    return let(chunks, lambda chs: _joined(chs, step, op, zero))
 
 
-def _joined(chunks: Column, step) -> Column:
-    totals = F.transform(chunks, lambda ch: F.aggregate(ch, F.lit(0), lambda a, x: a + x))
-    before = F.aggregate(totals, F.array(F.lit(0)), step)
-    # Within a chunk the sum after the last value belongs to the next chunk.
+def _joined(chunks: Column, step, op, zero: int) -> Column:
+    totals = F.transform(chunks, lambda ch: F.aggregate(ch, F.lit(zero), lambda a, x: op(a, x)))
+    before = F.aggregate(totals, F.array(F.lit(zero)), step)
+    # Within a chunk the value after the last one belongs to the next chunk.
     return F.flatten(
         F.transform(
             F.arrays_zip(chunks.alias("ch"), F.slice(before, F.lit(1), F.size(chunks)).alias("at")),
@@ -37,6 +44,21 @@ def _joined(chunks: Column, step) -> Column:
     )
 
 
+def outside(fixed: Column, more: Column) -> Column:
+    """The spans of more, by start, that lie in none of the fixed ones; spans are (start, end, hit)."""
+    both = F.array_sort(
+        F.concat(
+            F.transform(fixed, lambda s: F.struct(s["start"].alias("start"), F.lit(0).alias("late"), s["end"].alias("end"), F.lit("").alias("hit"))),
+            F.transform(more, lambda s: F.struct(s["start"].alias("start"), F.lit(1).alias("late"), s["end"].alias("end"), s["hit"].alias("hit"))),
+        )
+    )
+    # In order of their starts a span lies in an earlier fixed one if that reaches as far.
+    reach = lambda spans: running(F.transform(spans, lambda s: F.when(s["late"] == 0, s["end"]).otherwise(0)), F.greatest)
+    free = lambda spans: F.filter(F.arrays_zip(spans.alias("s"), reach(spans).alias("to")), lambda z: (z["s"]["late"] == 1) & (z["to"] < z["s"]["end"]))
+    kept = let(both, lambda b: F.transform(free(b), lambda z: F.struct(z["s"]["start"].alias("start"), z["s"]["end"].alias("end"), z["s"]["hit"].alias("hit"))))
+    return F.when(F.size(more) > 0, kept).otherwise(empty())
+
+
 def empty() -> Column:
     return F.array().cast(SPAN)
 
