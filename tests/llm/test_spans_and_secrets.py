@@ -1,11 +1,13 @@
 import hashlib
+import math
 import random
 import re
 import string
+import time
 
 from pyspark.sql import functions as F
 
-from termsieve.llm.secret_scan import digest, find_secrets
+from termsieve.llm.secret_scan import SecretOptions, digest, find_secrets
 from termsieve.llm.spans import found, normal_cdf, running
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -58,3 +60,65 @@ def test_battery_tells_random_tokens_from_text(spark):
     df = spark.createDataFrame([(i, f"x {t} y") for i, t in enumerate(good + bad)], "doc_id long, text string")
     hit = {row.doc_id for row in digest(find_secrets(df)).collect() if "random" in row.spans}
     assert sum(i in hit for i in range(300)) >= 270 and not [bad[i - 300] for i in hit if i >= 300]
+
+
+def battery(t):
+    """The tests on long tokens, token by token, with plain arithmetic."""
+    o = SecretOptions()
+    cdf = lambda z: 1 / (1 + math.exp(-(min(8, max(-8, z)) * 1.5976 + min(8, max(-8, z)) ** 3 * 0.070566)))
+    tested = []
+    for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", t):
+        s = m[0]
+        cased = re.sub("[^Aa]", "", "".join("A" if c.isupper() else "a" if c.islower() else "" for c in s))
+        if not (re.search("[0-9]", s) and re.search("[A-Za-z]", s)) and cased.count("Aa") < 6:
+            continue
+        if re.fullmatch("[0-9a-f]+|[0-9A-F]+", s):
+            alphabet, s = "0123456789abcdef", s.lower()
+        elif re.fullmatch("[A-Z2-7]+=*", s):
+            alphabet = string.ascii_uppercase + "234567="
+        elif re.fullmatch("[0-9a-z]+|[0-9A-Z]+", s):
+            alphabet, s = string.ascii_lowercase + string.digits, s.lower()
+        else:
+            alphabet = string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/-_="
+        k = {16: 16, 33: 32, 36: 36}.get(len(alphabet)) or (62 if re.fullmatch("[0-9A-Za-z]+", s) else 64)
+        n = len(s)
+        dev = [(alphabet.index(c) + 1) / k for c in s]
+        mean = sum(dev) / n
+        dev = [d - mean for d in dev]
+        chi = sum(m[0].count(c) ** 2 for c in set(m[0])) * k / n - n
+        up = sum(d >= 0 for d in dev)
+        flat = 2 * up * (n - up)
+        spread = flat * (flat - n) / (n * n * (n - 1))
+        changes = sum((a >= 0) != (b >= 0) for a, b in zip(dev, dev[1:]))
+        var = sum(d * d for d in dev)
+        z = [max(0, (chi - (k - 1)) / math.sqrt(2 * (k - 1))), (changes - flat / n) / math.sqrt(spread) if spread > 0 else 8, sum(a * b for a, b in zip(dev, dev[1:])) / var * math.sqrt(n) if var > 0 else 8]
+        off = max(k * o.text_collision - 1, 0.3) * n
+        tested.append((m.start(), m.end(), cdf((chi - (k - 1 + off)) / math.sqrt(2 * (k - 1) + 4 * off)), min(2 * cdf(-abs(v)) for v in z), n))
+    if not tested:
+        return []
+    mean = sum(v[4] for v in tested) / len(tested)
+    ps = sorted(v[2] * mean / v[4] for v in tested)
+    bound = max((p for i, p in enumerate(ps) if p <= (i + 1) * o.fdr / len(ps)), default=-1)
+    fixed = base(t)
+    return [(a, e) for a, e, p, least, n in tested if p * mean / n <= bound and least >= o.battery and not any(b <= a and c >= e for b, _, c, _ in fixed)]
+
+
+def test_random_tokens_against_plain_arithmetic(spark):
+    r = random.Random(18)
+    pick = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n))
+    kinds = [string.ascii_letters + string.digits, string.ascii_letters + "+/", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", string.ascii_lowercase + string.digits, string.ascii_letters]
+    parts = [lambda: pick(r.choice(kinds), r.randint(15, 90)), lambda: "token = " + pick(kinds[0], 30), lambda: "CamelCaseNameOfAClass" * 2, lambda: "/usr/local/lib/python3", lambda: pick("ab12", 40), lambda: "é x"]
+    texts = [" ".join(r.choice(parts)() for _ in range(r.randint(0, 8))) for _ in range(600)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {row.doc_id: [(s.start, s.end) for s in row.random] for row in find_secrets(df).select("doc_id", "random").collect()}
+    assert all(got[i] == battery(t) for i, t in enumerate(texts)), next((texts[i], got[i], battery(texts[i])) for i in got if got[i] != battery(texts[i]))
+    assert sum(map(len, got.values())) > 200
+
+
+def test_long_tokens_and_many_spans_take_linear_time(spark):
+    texts = [("A" + "a" * 5000) * 5, "CamelCaseWord" * 20_000, "/usr/local/lib" * 20_000, "A" * 300_000, " ".join(f"token=abcdefghijkl{i:06d}" for i in range(20_000))]
+    began = time.time()
+    rows = digest(find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).orderBy("doc_id").collect()
+    assert time.time() - began < 60
+    assert [r.n_assign for r in rows] == [0, 0, 0, 0, 20_000] and all(r.spans == "" for r in rows[:4])
+    assert rows[4].base_sha256 == hashlib.sha256(joined(base(texts[4])).encode()).hexdigest()
