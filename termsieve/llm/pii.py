@@ -3,8 +3,9 @@
 The fixed formats are e-mail and IP addresses, card numbers and international phone numbers.
 Beyond them, generators that miss little propose overlapping spans: numbers grouped like phone
 numbers without a country code, long numbers, and addresses in disguise. Boosted trees score each
-from its format and the words before it; a threshold calibrated for precision selects, the better
-of two overlapping spans stays. The trees are trained in numpy on examples written by a seeded
+from its format and the words before it; a threshold calibrated for precision selects. A selected
+span that lies in another one adds nothing and goes; all others stay, so nothing that the trees
+select is left uncovered. The trees are trained in numpy on examples written by a seeded
 generator, and run as Spark expressions.
 """
 
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Trees, boost, calibrated_bound
-from .spans import by_kind, empty, found, let, tagged
+from .spans import by_kind, cut, empty, found, let, parts, running, tagged
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "[A-Za-z0-9._%+-]"
@@ -173,11 +174,11 @@ def trained(o: PiiOptions) -> tuple[Trees, dict[str, float]]:
     return model, bounds
 
 
-def _proposals(text: Column, kind: str, pattern: str, model: Trees, bound: float) -> Column:
+def _proposals(text: Column, pieces: Column, kind: str, pattern: str, model: Trees, bound: float) -> Column:
     rank = KINDS.index(kind)
 
     def scored(s: Column) -> Column:
-        before = F.substring(text, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT)))
+        before = cut(pieces, F.greatest(s["start"] - CONTEXT, F.lit(0)), s["start"])
         features = let(before, lambda b: F.struct(*[c.alias(f"f{i}") for i, c in enumerate(_features(kind, s["hit"], b))]))
         count = len(_features(kind, F.lit(""), F.lit("")))
         p = let(features, lambda f: model.probability([f[f"f{i}"] for i in range(count)]))
@@ -186,15 +187,36 @@ def _proposals(text: Column, kind: str, pattern: str, model: Trees, bound: float
     return F.filter(F.transform(found(text, pattern), scored), lambda s: s["p"] >= bound)
 
 
+def _uncovered(selected: Column, fixed: Column) -> Column:
+    """The selected spans that lie in no fixed one and in no other selected one, by start.
+
+    Of several with one extent the likelier stays, of equals the one whose kind comes first.
+    """
+    fields = ("start", "back", "late", "less", "rank", "kind", "end")
+    row = lambda *values: F.struct(*[v.alias(n) for v, n in zip(values, fields, strict=True)])
+    both = F.array_sort(
+        F.concat(
+            F.transform(fixed, lambda s: row(s["start"], -s["end"], F.lit(0), F.lit(0.0), F.lit(0), F.lit(""), s["end"])),
+            F.transform(selected, lambda s: row(s["start"], -s["end"], F.lit(1), -s["p"], s["rank"], s["kind"], s["end"])),
+        )
+    )
+    # By start, the longer first: a span lies in an earlier one if any of those reaches as far.
+    reach = lambda spans: running(F.transform(spans, lambda s: s["end"]), F.greatest)
+    free = lambda spans: F.filter(F.arrays_zip(spans.alias("s"), reach(spans).alias("to")), lambda z: (z["s"]["late"] == 1) & (z["to"] < z["s"]["end"]))
+    out = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["rank"].alias("rank"), s["kind"].alias("kind"), (-s["less"]).alias("p"))
+    return F.when(F.size(selected) > 0, let(both, lambda b: F.transform(free(b), lambda z: out(z["s"])))).otherwise(F.array().cast(SCORED))
+
+
 SCORED = "array<struct<start:int,end:int,rank:int,kind:string,p:double>>"
 
 
 def find_pii(docs: DataFrame, options: PiiOptions | None = None, text_col: str = "text") -> DataFrame:
     """docs with email, ip, card, phone: arrays of (start, end, hit); and added: (start, end, rank, kind, p).
 
-    Offsets are code points. added holds what the trees select and no fixed format overlaps; of two
-    overlapping ones the likelier stays, of equals the earlier. Null and empty texts have empty
-    arrays; texts are read whole. Every row gives one row, repeated rows too; other columns stay,
+    Offsets are code points. added holds what the trees select, by start, without spans that lie in
+    a fixed one or in another selected one; of one extent the likelier stays. Spans may overlap in
+    part. What is found in one place depends on nothing but the characters about it. Null and empty
+    texts have empty arrays; texts are read whole. Every row gives one row, repeated rows too; other columns stay,
     except that columns under the five names are replaced. An empty table gives an empty result.
     """
     o = options or PiiOptions()
@@ -205,14 +227,16 @@ def find_pii(docs: DataFrame, options: PiiOptions | None = None, text_col: str =
     # What every proposal holds: two groups of digits or a card's first twelve; an address up to its first dot.
     number = text.rlike(r"[0-9]{2}\)?[\x20./-]{1,2}[0-9]{2}|[0-9](?:[\x20.-]?[0-9]){11}")
     at = text.rlike(r"[\[({]at[\])}]|\x20at\x20{1,2}[A-Za-z0-9-]{2,63}(?:\x20?[.\[({]|\x20{1,2}dot\x20)")
-    lists = [
-        F.when(at if kind == "email" else number, _proposals(text, kind, pattern, model, bounds[kind])).otherwise(F.array().cast(SCORED))
-        for kind, pattern in GENERATORS
-    ]
-    free = F.filter(F.concat(*lists), lambda s: ~F.exists(fixed, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    better = lambda a, b: (a["p"] > b["p"]) | ((a["p"] == b["p"]) & ((a["start"] < b["start"]) | ((a["start"] == b["start"]) & (a["rank"] < b["rank"]))))
-    best = let(free, lambda c: F.filter(c, lambda s: ~F.exists(c, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"]) & better(t, s))))
-    return out.withColumn("added", F.when(at | number, best).otherwise(F.array().cast(SCORED)))
+    nothing = F.array().cast(SCORED)
+
+    def selected(pieces: Column) -> Column:
+        lists = [
+            F.when(at if kind == "email" else number, _proposals(text, pieces, kind, pattern, model, bounds[kind])).otherwise(nothing)
+            for kind, pattern in GENERATORS
+        ]
+        return let(F.concat(*lists), lambda s: _uncovered(s, fixed))
+
+    return out.withColumn("added", F.when(at | number, let(parts(text), selected)).otherwise(nothing))
 
 
 def _marked(found_pii: DataFrame) -> tuple[Column, Column]:
@@ -232,27 +256,29 @@ def redact(found_pii: DataFrame, text_col: str = "text") -> DataFrame:
     """The input of find_pii with every span replaced by its kind in brackets; overlapping spans become one."""
     _, every = _marked(found_pii)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    order = F.array_sort(every)
-    # Spans that start at or after the end of all spans before them open a new group.
-    groups = F.aggregate(
-        order,
-        F.array().cast("array<struct<start:int,end:int,kind:string>>"),
-        lambda acc, s: F.when(
-            (F.size(acc) > 0) & (s["start"] < F.element_at(acc, -1)["end"]),
-            F.concat(
-                F.slice(acc, F.lit(1), F.size(acc) - 1),
-                F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"), F.element_at(acc, -1)["kind"].alias("kind"))),
+    ordered = F.array_sort(F.transform(every, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
+
+    def opened(spans: Column) -> Column:
+        # A span that starts at or after the end of all spans before it opens a new group.
+        reach = running(F.transform(spans, lambda s: s["end"]), F.greatest)
+        firsts = F.filter(F.arrays_zip(spans.alias("s"), reach.alias("to")), lambda z: z["s"]["start"] >= z["to"])
+        return let(firsts, lambda f: closed(f, F.array_max(F.transform(spans, lambda s: s["end"]))))
+
+    def closed(firsts: Column, last: Column) -> Column:
+        # What all spans before a group reach is the end of the group before it.
+        ends = F.concat(F.transform(F.slice(firsts, F.lit(2), F.size(firsts)), lambda z: z["to"]), F.array(last))
+        starts = F.concat(F.array(F.lit(0)), ends)
+        return let(
+            F.transform(
+                F.arrays_zip(firsts.alias("f"), F.slice(starts, F.lit(1), F.size(firsts)).alias("at"), ends.alias("end")),
+                lambda z: F.struct(z["f"]["s"]["start"].alias("start"), z["end"].alias("end"), z["at"].alias("at"), z["f"]["s"]["kind"].alias("kind")),
             ),
-        ).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))),
-    )
-
-    def rebuilt(g: Column) -> Column:
-        starts = F.concat(F.array(F.lit(0)), F.transform(g, lambda s: s["end"]))
-        pieces = F.transform(
-            F.arrays_zip(g.alias("s"), F.slice(starts, F.lit(1), F.size(g)).alias("at")),
-            lambda z: F.concat(F.substring(text, z["at"] + 1, z["s"]["start"] - z["at"]), F.lit("["), F.upper(z["s"]["kind"]), F.lit("]")),
+            lambda g: let(parts(text), lambda pieces: rebuilt(g, pieces)),
         )
-        return F.concat(F.array_join(pieces, ""), F.substring(text, F.element_at(starts, -1) + 1, F.length(text)))
 
-    changed = F.when(F.size(every) > 0, let(groups, rebuilt)).otherwise(F.col(text_col))
+    def rebuilt(g: Column, pieces: Column) -> Column:
+        said = F.transform(g, lambda s: F.concat(cut(pieces, s["at"], s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]")))
+        return F.concat(F.array_join(said, ""), cut(pieces, F.element_at(g, -1)["end"], F.length(text)))
+
+    changed = F.when(F.size(every) > 0, let(ordered, opened)).otherwise(F.col(text_col))
     return found_pii.withColumn(text_col, changed).drop(*KINDS, "added")

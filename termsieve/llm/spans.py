@@ -44,6 +44,21 @@ def _joined(chunks: Column, step, op, zero: int) -> Column:
     )
 
 
+_PART = 512
+
+
+def parts(text: Column) -> Column:
+    """The text in pieces of 512 code points, the last one shorter."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PART}}}"), F.lit(0))
+
+
+def cut(parts: Column, start: Column, end: Column) -> Column:
+    """Code points start..end of the text cut into parts, without walking through the text before them."""
+    first = F.floor(start / _PART).cast("int")
+    count = F.floor((F.greatest(end, start + 1) - 1) / _PART).cast("int") - first + 1
+    return F.substring(F.array_join(F.slice(parts, first + 1, count), ""), start - first * _PART + 1, end - start)
+
+
 def outside(fixed: Column, more: Column) -> Column:
     """The spans of more, by start, that lie in none of the fixed ones; spans are (start, end, hit)."""
     both = F.array_sort(
