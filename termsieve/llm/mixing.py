@@ -4,7 +4,9 @@ Every document gets an exponential key, the logarithm of a hash in (0, 1) divide
 weight; in each source documents are taken in key order until the source's token budget is used.
 Whole passes over a source come first, the fraction that is left is sampled. Keys are cut into
 ranges, whose token counts are summed before any sorting: a source of any size is sorted range by
-range, each in a task of its own.
+range. A weight moves the logarithm of a key and doesn't stretch it, so ranges of equal width in
+the logarithm hold at most about 0.37 of the square root of the source's documents each, whatever
+the weights are.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from termsieve.functions.columns import fresh
+
 from .scratch import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,10 +38,13 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def quality(size: Column, text: Column) -> Column:
-    """A weight in 0.1..1 that falls as the mean word length leaves 3..10 characters."""
-    mean = F.coalesce(F.length(text), F.lit(0)) / F.greatest(size, F.lit(1)) - 1
-    return F.greatest(F.lit(0.1), F.least(F.lit(1.0), mean / 3, (24 - mean) / 14))
+def quality(text: Column) -> Column:
+    """A weight in 0.1..1: the share of distinct lines, less two times the share of signs and digits in the text; 1 for null."""
+    n = F.greatest(F.length(text), F.lit(1))
+    lines = F.split(text, "\n", -1)
+    odd = F.regexp_count(text, F.lit(r"[^\p{L}\p{M}\s.,]")) / n
+    weight = F.size(F.array_distinct(lines)) / F.size(lines) - 2 * odd
+    return F.greatest(F.lit(0.1), F.least(F.lit(1.0), weight))
 
 
 def targets(sources: DataFrame, o: MixOptions) -> DataFrame:
@@ -68,23 +75,27 @@ def targets(sources: DataFrame, o: MixOptions) -> DataFrame:
     )
 
 
-def _key(docs: DataFrame, o: MixOptions, id_col: str, text: Column, size: Column) -> Column:
+def _key(o: MixOptions, id_col: str, text: Column) -> Column:
     known = F.coalesce(F.col(id_col).cast("long"), F.lit(-1))
     u = (F.pmod(F.xxhash64(known, F.xxhash64(text), F.lit(o.seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    return -F.log(u) / quality(size, text)
+    return -F.log(u) / quality(text)
+
+
+def key_range(key: Column, n: Column) -> Column:
+    """The range of a key among n documents."""
+    return F.floor(F.log(key) * F.sqrt(n)).cast("long")
 
 
 def _ranked(docs: DataFrame, o: MixOptions, id_col: str, text_col: str, source_col: str) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "mix")
     text = F.col(text_col)
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), text.alias("text"), word_count(text).alias("size"))
-    sized = scratch.keep(sized.select("doc_id", "source", "size", _key(sized, o, "doc_id", F.col("text"), F.col("size")).alias("key")), "sized")
+    sized = scratch.keep(sized.select("doc_id", "source", "size", _key(o, "doc_id", F.col("text")).alias("key")), "sized")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     sources = scratch.keep(targets(sources, o), "sources")
     small = F.broadcast(sources) if sources.count() <= FEW_SOURCES else sources
-    ranges = F.ceil(F.sqrt("n")).cast("long")
     placed = sized.join(small.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    placed = placed.withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * ranges))
+    placed = placed.withColumn("range", key_range(F.col("key"), F.col("n")))
     placed = placed.withColumn("src", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")))
     sums = placed.groupBy("src", "range").agg(F.sum("size").alias("in_range"))
     ahead = Window.partitionBy("src").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -119,15 +130,14 @@ def mixed(docs: DataFrame, options: MixOptions | None = None, id_col: str = "doc
     decides, and texts aren't dealt again. Rows that repeat the document at that key all count.
     """
     o = options or MixOptions()
+    source, whole, cut, size, key, copy = (fresh(docs, c) for c in ("source", "whole", "cut", "size", "key", "copy"))
     cuts = _ranked(docs, o, id_col, text_col, source_col).groupBy("source").agg(
-        F.max("whole").alias("_whole"), F.max(F.when(F.col("more"), F.col("key"))).alias("_cut")
+        F.max("whole").alias(whole), F.max(F.when(F.col("more"), F.col("key"))).alias(cut)
     )
-    cuts = Scratch(docs.sparkSession, "cuts").keep(cuts.withColumnRenamed("source", "_source"), "cuts")
+    cuts = Scratch(docs.sparkSession, "cuts").keep(cuts.withColumnRenamed("source", source), "cuts")
     cuts = F.broadcast(cuts) if cuts.count() <= FEW_SOURCES else cuts
-    size = word_count(F.col(text_col))
-    sized = docs.withColumn("_size", size)
-    keyed = sized.withColumn("_key", _key(sized, o, id_col, F.col(text_col), F.col("_size")))
-    keyed = keyed.join(cuts, F.col(source_col).eqNullSafe(F.col("_source")))
-    copies = F.col("_whole") + F.coalesce(F.col("_key") <= F.col("_cut"), F.lit(False)).cast("long")
-    taken = keyed.where((F.col("_size") > 0) & (copies > 0)).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
+    keyed = docs.withColumns({size: word_count(F.col(text_col)), key: _key(o, id_col, F.col(text_col))})
+    keyed = keyed.join(cuts, F.col(source_col).eqNullSafe(F.col(source)))
+    copies = F.col(whole) + F.coalesce(F.col(key) <= F.col(cut), F.lit(False)).cast("long")
+    taken = keyed.where((F.col(size) > 0) & (copies > 0)).withColumn(copy, F.explode(F.sequence(F.lit(1), copies)))
     return taken.select(*[F.col(f"`{c}`") for c in docs.columns])

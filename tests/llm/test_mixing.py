@@ -1,6 +1,9 @@
+import math
+
 import pytest
+from pyspark.sql import functions as F
 
-from termsieve.llm.mixing import MixOptions, mix, mixed
+from termsieve.llm.mixing import MixOptions, _key, key_range, mix, mixed, quality
 
 
 def water(sizes, weights=(5, 2, 1), share=1.5, passes=2):
@@ -76,7 +79,46 @@ def test_few_and_no_sources(spark, docs):
 
 
 def test_better_documents_come_first(spark):
-    rows = [(i, "good text here now " * 5 if i % 2 else "x " * 20, "a") for i in range(400)]
-    got = mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), MixOptions(share=0.5)).collect()
+    rows = [(i, "good text here now " * 5 if i % 2 else "4%;! now\n" * 8, "a") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix(docs, MixOptions(share=0.5)).collect()
     taken = lambda odd: sum(r.copies for r in got if r.doc_id % 2 == odd)
     assert taken(1) > 1.5 * taken(0)
+    weights = spark.createDataFrame([(t,) for t in ("plain words", "zwölf Boxkämpfer, groß", "語語語語。語", "a\na\na\nb", "12:30-14", "", None)], "t string").select(quality(F.col("t"))).collect()
+    assert [round(w[0], 2) for w in weights] == [1.0, 1.0, round(1 - 2 / 6, 2), 0.5, 0.1, 1.0, 1.0]
+
+
+def test_taken_as_by_sorting_each_source(spark):
+    """Efraimidis-Spirakis with plain lists, on the same keys."""
+    texts = ["w w", "4%;! now\n" * 8, "good text here now " * 3, "語語語", "a\na\na b c d e"]
+    rows = [(i, texts[i % 5], ("hot", "hot", "cold", None, "é")[i % 4 if i % 7 else 4]) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    o = MixOptions()
+    keys = {r.doc_id: r.k for r in docs.select("doc_id", _key(o, "doc_id", F.col("text")).alias("k")).collect()}
+    size = {i: len(t.split()) for i, t, _ in rows}
+    target = water({s: sum(size[i] for i, _, x in rows if x == s) for s in {x for _, _, x in rows}})
+    want = {}
+    for s, t in target.items():
+        own = sorted((keys[i], i) for i, _, x in rows if x == s)
+        total = sum(size[i] for _, i in own)
+        passes = min(math.floor(t / total + 1e-12), 2)
+        ahead = 0
+        for _, i in own:
+            want[i] = passes + (passes < 2 and ahead + size[i] / 2 <= t - passes * total)
+            ahead += size[i]
+    assert {r.doc_id: r.copies for r in mix(docs, o).collect()} == want and len(set(want.values())) > 1
+
+
+def test_no_range_of_keys_is_large_whatever_the_weights(spark):
+    n = 1_000_000
+    for text in ("4%;!", "plain words"):
+        keyed = spark.range(n).select(_key(MixOptions(), "id", F.lit(text)).alias("key")).select(key_range(F.col("key"), F.lit(n)).alias("r"))
+        assert keyed.groupBy("r").count().agg(F.max("count")).first()[0] <= 0.01 * n
+
+
+def test_columns_under_the_operators_own_names_stay(spark):
+    names = ["_size", "_key", "_source", "_whole", "_cut", "_copy", "size", "KEY", "range", "src"]
+    docs = spark.createDataFrame([(i, "a b c", "s", *(f"{c}{i}" for c in names)) for i in range(20)], ["doc_id", "text", "source", *names])
+    out = mixed(docs)
+    assert out.columns == docs.columns and set(map(tuple, out.collect())) <= set(map(tuple, docs.collect()))
+    assert out.count() == sum(r.copies for r in mix(docs).collect())
