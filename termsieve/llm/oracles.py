@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .license_scan import TEMPLATES
+
 _REACH = """
 reach(id, root) AS (SELECT id, id FROM nodes UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.id),
 comps AS (SELECT id, min(root) AS component FROM reach GROUP BY id)"""
@@ -43,5 +45,34 @@ degree AS (SELECT a, count(*) AS n FROM links GROUP BY a),"""
 )
 
 
+_TEMPLATES = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(TEMPLATES))
+
+# Cosines of pieces to templates by their definition, then the nearest folder above whose NOTICE has a licence.
+OP8 = rf"""WITH RECURSIVE
+files AS (SELECT doc_id, coalesce(text, '') AS text, doc_id % 8 = 0 AS is_file,
+  printf('%x', doc_id // 8) || '/' || CASE WHEN doc_id % 8 = 0 THEN 'NOTICE.' || doc_id ELSE coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || doc_id END AS path FROM documents),
+templates(t, licence, body) AS (VALUES {_TEMPLATES}),
+template_words AS (SELECT t, licence, unnest(list_filter(string_split_regex(lower(body), '[^a-z0-9]+'), lambda w: w <> '')) AS w FROM templates),
+vocabulary AS (SELECT DISTINCT w FROM template_words),
+held AS (SELECT w, count(*) AS df FROM (SELECT unnest(list_distinct(string_split_regex(lower(text), '[^a-z0-9]+'))) AS w FROM files) JOIN vocabulary USING (w) GROUP BY w),
+idf AS (SELECT w, ln((1 + (SELECT count(*) FROM files)) / (1 + coalesce(df, 0))) + 1 AS idf FROM vocabulary LEFT JOIN held USING (w)),
+vectors AS (SELECT t, licence, w, x / sqrt(sum(x * x) OVER (PARTITION BY t)) AS x FROM (SELECT t, licence, w, count(*) * any_value(idf) AS x FROM template_words JOIN idf USING (w) GROUP BY t, licence, w)),
+pieces AS (SELECT doc_id, unnest(list_distinct(string_split(regexp_replace(text, '([.!?]) ', '' || chr(10), 'g'), chr(10)) || string_split_regex(text, '
+[ 	]*
+') || CASE WHEN is_file THEN [text] ELSE [] END)) AS piece FROM files),
+numbered AS (SELECT *, row_number() OVER () AS p FROM pieces WHERE regexp_matches(piece, '[A-Za-z0-9]')),
+counted AS (SELECT p, doc_id, w, count(*) * any_value(idf) AS x FROM (SELECT p, doc_id, unnest(string_split_regex(lower(piece), '[^a-z0-9]+')) AS w FROM numbered) JOIN idf USING (w) GROUP BY p, doc_id, w),
+norms AS (SELECT p, sqrt(sum(x * x)) AS norm FROM counted GROUP BY p),
+scores AS (SELECT doc_id, licence, round(sum(c.x * v.x) / any_value(norm), 9) AS score FROM counted c JOIN vectors v USING (w) JOIN norms USING (p) GROUP BY doc_id, p, t, licence),
+own AS (SELECT doc_id, score, licence FROM scores WHERE score >= 0.7 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, licence) = 1),
+judged AS (SELECT f.doc_id, path, is_file, score, licence, regexp_replace(path, '/?[^/]*$', '') AS dir FROM files f LEFT JOIN own USING (doc_id)),
+folders AS (SELECT dir, score, licence, path FROM judged WHERE is_file AND licence IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, licence, path) = 1),
+climb(asks, dir) AS (SELECT DISTINCT dir, dir FROM judged WHERE licence IS NULL UNION SELECT asks, regexp_replace(dir, '/?[^/]*$', '') FROM climb WHERE dir <> ''),
+given AS (SELECT asks, f.score, f.licence, f.path FROM climb c JOIN folders f ON f.dir = c.dir QUALIFY row_number() OVER (PARTITION BY asks ORDER BY length(c.dir) DESC) = 1)
+SELECT doc_id, j.path, coalesce(j.licence, g.licence) AS licence, coalesce(j.score, g.score, 0.0) AS score,
+  CASE WHEN j.licence IS NOT NULL THEN 'own' WHEN g.licence IS NOT NULL THEN 'inherited' ELSE 'none' END AS scope, CASE WHEN j.licence IS NOT NULL THEN j.path ELSE g.path END AS from_path
+FROM judged j LEFT JOIN given g ON j.licence IS NULL AND g.asks = j.dir"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_dedup": OP1, "op2_chat_format": OP2, "op9_embedding_dedup": OP9}
+    return {"op1_minhash_dedup": OP1, "op2_chat_format": OP2, "op8_license_scan": OP8, "op9_embedding_dedup": OP9}

@@ -71,9 +71,12 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents have no paths of their own: source/language/doc_id stands for one."""
+    """Documents have no paths of their own: eight by eight they stand in a folder as source/language/file, but for
+    the first, which is the folder's NOTICE: its licence, if it has one, holds for those of the others without."""
     docs = _table(spark, sf_dir, "documents")
-    files = docs.select("doc_id", "text", F.concat_ws("/", "source", "lang", "doc_id").alias("path"))
+    folder = F.format_string("%x", F.floor(F.col("doc_id") / 8).cast("long"))
+    below = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.col("doc_id").cast("string"))
+    files = docs.select("doc_id", "text", F.concat(folder, F.lit("/"), F.when(F.col("doc_id") % 8 == 0, F.concat(F.lit("NOTICE."), F.col("doc_id").cast("string"))).otherwise(below)).alias("path"))
     return scan_licenses(files).select("doc_id", "path", "licence", "score", "scope", "from_path")
 
 

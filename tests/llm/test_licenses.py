@@ -2,12 +2,13 @@ import math
 import random
 import re
 
-from termsieve.llm.license_scan import FILE, HINT, TEMPLATES, scan_licenses, words
+from termsieve.llm.license_scan import FILE, HINT, PARAGRAPH_END, SENTENCE_END, TEMPLATES, scan_licenses, words
 
 ROWS = [
     ("a/LICENSE", TEMPLATES[1][1]), ("a/b/c/x.py", "code"), ("a/b/y.py", "# head\nLicensed under the Apache License, Version 2.0. And more words here."), ("z.py", "no"),
     ("a/b/COPYING", "This work is licensed under the GNU General Public License, version 3."), (None, "q"), ("LICENSE.txt", None), ("aa/k.py", None), ("a/k.py", "a license to kill"),
     ("d/LICENSE", "Released under the MIT License."), ("d/NOTICE", "Released under the MIT License."), ("d/e/f/g.txt", ""), ("z.py", "no"), ("m.txt", "Copyright and licence of this and that, in many words of other kinds"),
+    ("w.c", "int x;\n\n" + TEMPLATES[17][1].replace(", ", ",\n") + "\n \nint y;"), ("g.c", TEMPLATES[19][1] + "\nint main"), ("v/COPYING.md", "Copyright 2001 somebody\n\n" + TEMPLATES[20][1].replace(". ", ".\n\n")), ("v/w/a.b", "none"),
 ]
 
 
@@ -25,7 +26,7 @@ def brute(rows):
         return sum(v * b.get(w, 0) for w, v in a.items()) / norm if norm else 0.0
 
     def own(path, text):
-        parts = [s for s in re.split(r"\n|(?<=[.!?])\x20", text or "") if re.search(HINT, s)]
+        parts = [s for s in re.split(SENTENCE_END, text or "") + re.split(PARAGRAPH_END, text or "") if re.search(HINT, s)]
         if path and re.search(FILE, path):
             parts.append(text or "")
         found = [(-round(cosine(vector(words(s)), vector(words(t))), 9), name) for s in parts for name, t in TEMPLATES]
@@ -76,3 +77,15 @@ def test_no_piece_that_reaches_the_threshold_is_passed_over(spark):
     assert {p: lic for p, lic, *_ in got if p == "n0.txt"} == {"n0.txt": "cc-by-4.0"}
     assert sorted(map(repr, got)) == brute(rows) and 20 < sum(g[3] == "own" for g in got) < 120
     assert all(re.search(HINT, t) for _, t in rows), "brute leaves no piece out"
+
+
+def test_repeated_rows_long_texts_and_the_operators_own_names(spark):
+    long = "plain words of no licence. " * 40_000
+    rows = [("a/LICENSE", "Released under the MIT License."), ("a/x", long), ("a/x", long), ("b/y", long + "\nReleased under the MIT License.")]
+    names = ["_mine", "_folder", "_given", "_asks", "_salt", "less", "W"]
+    df = spark.createDataFrame([(*r, *(f"{c}{i}" for c in names)) for i, r in enumerate(rows)], ["path", "text", *names])
+    out = scan_licenses(df)
+    assert out.columns == [*df.columns, "licence", "score", "scope", "from_path"]
+    got = out.orderBy("less").collect()
+    assert [(r.scope, r.licence) for r in got] == [("own", "mit"), ("inherited", "mit"), ("inherited", "mit"), ("own", "mit")]
+    assert [[r[c] for c in names] for r in got] == [[f"{c}{i}" for c in names] for i in range(4)]
