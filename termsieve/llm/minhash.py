@@ -18,7 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termsieve.functions.columns import fresh
+
 from .graph import connected_components
+from .joins import dealt_join, hot_keys
 from .scratch import Scratch
 from .shingles import mix, shingle_sets
 
@@ -185,8 +188,10 @@ def near_duplicates(docs: DataFrame, options: MinHashOptions | None = None, id_c
         .agg(F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("doc"), F.col("n_shingles").alias("size"))).alias("c"), F.count("*").alias("n"))
         .where("n > 1").select("key", F.col("c.doc").alias("centre"), F.col("c.size").alias("centre_size"), "n")
     )
+    centre = scratch.keep(centre, "centres")
+    hot = hot_keys(centre, ["key"], "n", classes.count() * o.bands)
     members = scratch.keep(
-        rows.join(centre, "key").where("rep <> centre")
+        dealt_join(rows, centre, ["key"], hot, ["rep"]).where("rep <> centre")
         .select("key", F.col("rep").alias("doc"), F.col("n_shingles").alias("size"), "centre", "centre_size", "n"),
         "members",
     )
@@ -213,8 +218,7 @@ def near_duplicates(docs: DataFrame, options: MinHashOptions | None = None, id_c
         .join(comps, classes.rep == comps.node, "left")
         .select("fp_a", "fp_b", "n_shingles", F.coalesce("component", "rep").alias("component"))
     )
-    scratch.drop("members")
-    scratch.drop("sets")
+    scratch.keep_only("sketches", "classes", "second-")
     out = sketches.select("doc_id", "text_hash", "n_shingles", "fp_a", "fp_b").join(rep_comp, ["fp_a", "fp_b", "n_shingles"], "left")
     return out.select(
         "doc_id", "n_shingles",
@@ -226,15 +230,16 @@ def near_duplicates(docs: DataFrame, options: MinHashOptions | None = None, id_c
 def keep_one(docs: DataFrame, options: MinHashOptions | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the documents that near_duplicates doesn't keep; of rows that repeat a doc_id and text one stays."""
     judged = near_duplicates(docs, options, id_col, text_col)
-    names = judged.where("kept").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.count("*").alias("_n"))
+    name, hashed, times = (fresh(docs, c) for c in ("id", "hash", "n"))
+    names = judged.where("kept").groupBy(F.col("doc_id").alias(name), F.col("text_hash").alias(hashed)).agg(F.count("*").alias(times))
     names = Scratch(docs.sparkSession, "kept").keep(names, "names")
     text = F.xxhash64(F.col(text_col).cast("string"))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (text == F.col("_hash"))
-    out = docs.join(names.select("_id", "_hash"), same, "left_semi")
-    if names.where("_n > 1 and _id is not null").isEmpty():
-        return out
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(name)) & (text == F.col(hashed))
+    out = docs.join(names.select(name, hashed), same, "left_semi")
     # Rows of a repeated name are few; only they are grouped.
-    again = names.where("_n > 1 and _id is not null").select("_id", "_hash")
+    again = names.where((F.col(times) > 1) & F.col(name).isNotNull()).select(name, hashed)
+    if again.isEmpty():
+        return out
     return out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates([id_col, text_col]))
 
 
@@ -242,7 +247,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (doc, centre) whose full sets are similar enough, as (a, b)."""
     left = sets.select(F.col("doc_id").alias("doc"), F.col("hashes").alias("ha"))
     right = sets.select(F.col("doc_id").alias("centre"), F.col("hashes").alias("hb"))
-    both = pairs.join(left, "doc").join(right, "centre")
+    hot = hot_keys(pairs.groupBy("centre").agg(F.count("*").alias("n")), ["centre"], "n", pairs.count())
+    both = dealt_join(pairs.join(left, "doc"), right, ["centre"], hot, ["doc"])
     common = both.select("doc", "centre", (F.size("ha") + F.size("hb")).alias("total"), F.size(F.array_intersect("ha", "hb")).alias("common"))
     return common.where(100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).select(F.col("doc").alias("a"), F.col("centre").alias("b"))
 
@@ -280,7 +286,8 @@ def _rest(members: DataFrame, comps: DataFrame, sets: DataFrame, scratch: Scratc
         F.ceil(F.col("docs") / o.tile).cast("int").alias("cols"),
         F.ceil(F.col("rest") / o.tile).cast("int").alias("bands"),
     ).where("bands > 0")
-    placed = there.join(tiles, "grp").join(sets.select(F.col("doc_id").alias("doc"), "hashes"), "doc")
+    hot = hot_keys(total.withColumnRenamed("docs", "n"), ["grp"], "n", there.count())
+    placed = dealt_join(there, tiles, ["grp"], hot, ["doc"]).join(sets.select(F.col("doc_id").alias("doc"), "hashes"), "doc")
     spot = lambda n, seed: F.pmod(F.xxhash64("doc", F.lit(seed)), F.col(n)).cast("int")
     right = placed.select(
         "grp", spot("cols", 1).alias("j"), F.explode(F.sequence(F.lit(0), F.col("bands") - 1)).alias("i"), "doc", "comp", "hashes"

@@ -86,8 +86,7 @@ def key_range(key: Column, n: Column) -> Column:
     return F.floor(F.log(key) * F.sqrt(n)).cast("long")
 
 
-def _ranked(docs: DataFrame, o: MixOptions, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    scratch = Scratch(docs.sparkSession, "mix")
+def _ranked(docs: DataFrame, o: MixOptions, scratch: Scratch, id_col: str, text_col: str, source_col: str) -> DataFrame:
     text = F.col(text_col)
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), text.alias("text"), word_count(text).alias("size"))
     sized = scratch.keep(sized.select("doc_id", "source", "size", _key(o, "doc_id", F.col("text")).alias("key")), "sized")
@@ -118,7 +117,7 @@ def mix(docs: DataFrame, options: MixOptions | None = None, id_col: str = "doc_i
     agree; a null doc_id counts as -1; rows that agree in all of this are interchangeable. Other
     columns are ignored; an empty table gives an empty result.
     """
-    ranked = _ranked(docs, options or MixOptions(), id_col, text_col, source_col)
+    ranked = _ranked(docs, options or MixOptions(), Scratch(docs.sparkSession, "mix"), id_col, text_col, source_col)
     copies = F.when(F.col("size") > 0, F.col("whole") + F.col("more").cast("long")).otherwise(F.lit(0)).cast("long")
     return ranked.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
@@ -131,10 +130,12 @@ def mixed(docs: DataFrame, options: MixOptions | None = None, id_col: str = "doc
     """
     o = options or MixOptions()
     source, whole, cut, size, key, copy = (fresh(docs, c) for c in ("source", "whole", "cut", "size", "key", "copy"))
-    cuts = _ranked(docs, o, id_col, text_col, source_col).groupBy("source").agg(
+    scratch = Scratch(docs.sparkSession, "mixed")
+    cuts = _ranked(docs, o, scratch, id_col, text_col, source_col).groupBy("source").agg(
         F.max("whole").alias(whole), F.max(F.when(F.col("more"), F.col("key"))).alias(cut)
     )
-    cuts = Scratch(docs.sparkSession, "cuts").keep(cuts.withColumnRenamed("source", source), "cuts")
+    cuts = scratch.keep(cuts.withColumnRenamed("source", source), "cuts")
+    scratch.keep_only("cuts")
     cuts = F.broadcast(cuts) if cuts.count() <= FEW_SOURCES else cuts
     keyed = docs.withColumns({size: word_count(F.col(text_col)), key: _key(o, id_col, F.col(text_col))})
     keyed = keyed.join(cuts, F.col(source_col).eqNullSafe(F.col(source)))
