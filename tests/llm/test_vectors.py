@@ -1,7 +1,9 @@
+import tracemalloc
+
 import numpy as np
 
 from termsieve.llm.ann import AnnOptions, nearest
-from termsieve.llm.embed_dedup import EmbeddingOptions, embedding_duplicates, possible_pairs, quantise
+from termsieve.llm.embed_dedup import EmbeddingOptions, embedding_duplicates, linked, possible_pairs, quantise
 
 SCHEMA = "vec_id long, embedding array<float>, label int, score string"
 NAN, INF = float("nan"), float("inf")
@@ -35,6 +37,29 @@ def test_links_and_components_as_comparing_all(spark):
     assert embedding_duplicates(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_copies_are_one_vector_with_a_count(spark, monkeypatch):
+    from termsieve.llm import joins
+
+    monkeypatch.setattr(joins, "HOT_ROWS", 20)
+    rng = np.random.default_rng(12)
+    a, b = rng.normal(size=16), rng.normal(size=16)
+    rows = [(i, a.tolist(), 1) for i in range(10, 400)] + [(i, (a + 0.01 * b).tolist(), 1) for i in range(400, 420)] + [(5, (3 * a).tolist(), 1), (6, b.tolist(), 1), (7, a.tolist(), 2), (10, a.tolist(), 1)]
+    out = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_duplicates(frame(spark, rows)).collect()}
+    assert out == {5: (410, 5, True), 6: (0, 6, True), 7: (0, 7, True), **{i: (410, 5, False) for i in range(10, 420)}}
+
+
+def test_a_tile_pair_of_alike_vectors_stays_small():
+    rng = np.random.default_rng(13)
+    n, o = 4096, EmbeddingOptions()
+    x = rng.normal(size=64) + 0.001 * rng.normal(size=(2 * n, 64))
+    ids, count = np.arange(2 * n) * 3, np.full(2 * n, 2)
+    tracemalloc.start()
+    links, root = linked(ids, count, x, np.arange(0, 2 * n, 2), np.arange(1, 2 * n, 2), False, o)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (links == 2 * n).all() and (root == 0).all() and peak < 300 << 20
+
+
 def test_bounds_never_lose_a_pair():
     rng = np.random.default_rng(4)
     for d in (2, 16, 64):
