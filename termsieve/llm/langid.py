@@ -5,7 +5,8 @@ an embedding table; the average row goes through a linear layer. Both are traine
 gradient descent in numpy on a bounded sample of labelled rows. A part of the sample that is not
 trained on sets the temperature of the softmax and the confidence below which a text is rejected.
 Prediction reads whole texts: the product of table and layer is taken once, so that a text costs
-one lookup and one sum for each n-gram.
+one lookup and one sum for each n-gram. The product is rounded to multiples of 2^-16, whose sums
+are exact, so what is told of a text doesn't depend on the texts beside it.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termsieve.functions.columns import fresh
+
 from .shingles import text_chunks
 
 _U = np.uint32
@@ -24,11 +27,12 @@ _U = np.uint32
 
 @dataclass(frozen=True)
 class LangOptions:
-    """about per_language rows of each of the max_languages commonest languages are sampled, the first train_chars
-    characters of each are trained on; rejected is the share of the calibration rows below the bound."""
+    """about per_language rows of each language are sampled, fewer where max_rows in all would be exceeded; a window of
+    train_chars characters at a hashed place of each is trained on; rejected is the share of the calibration rows below
+    the bound, which is at most a quarter of the way from 1 / languages to 1."""
 
     per_language: int = 800
-    max_languages: int = 100
+    max_rows: int = 16_000
     train_chars: int = 1500
     sizes: tuple[int, ...] = (2, 3, 4)
     buckets: int = 1 << 15
@@ -87,27 +91,32 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def _bag(text: str, o: LangOptions) -> tuple[np.ndarray, np.ndarray]:
+    """The text's n-grams and how often each occurs, as small as they can be."""
+    raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+    ids, counts = np.unique(np.concatenate(ngrams(fold(raw), o)), return_counts=True)
+    return ids.astype(np.int32), counts.astype(np.int32)
+
+
 def train(texts: list[str], labels: list[str], o: LangOptions) -> LangModel:
-    """Fit on all but every fifth text, calibrate on these."""
+    """Fit on all but every fifth text, calibrate on these, whole and in short pieces."""
     languages = sorted(set(labels))
     if not languages:
         return LangModel([], np.zeros((o.buckets, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0)
-    y = np.array([languages.index(x) for x in labels])
-    bags = [np.concatenate(ngrams(fold(np.frombuffer(t.encode("utf-8", "replace"), np.uint8)), o)) for t in texts]
-    rng = np.random.default_rng(o.seed)
+    place = {x: i for i, x in enumerate(languages)}
     # Short texts are learned from short pieces.
-    pieces = [np.concatenate(ngrams(fold(np.frombuffer(t[:40].encode("utf-8", "replace"), np.uint8)), o)) for t in texts]
+    bags = [_bag(t, o) for t in texts] + [_bag(t[:40], o) for t in texts]
+    y = np.array([place[x] for x in labels] * 2)
+    rng = np.random.default_rng(o.seed)
     emb = rng.normal(0, 1 / o.dimensions, (o.buckets, o.dimensions))
     layer = np.zeros((o.dimensions, len(languages)))
     bias = np.zeros(len(languages))
-    keep = [i for i in range(len(bags)) if i % 5 and len(bags[i])]
+    at = np.arange(len(bags)) % len(texts)
+    full = np.array([len(ids) > 0 for ids, _ in bags])
     for epoch in range(o.epochs):
         rate = o.rate * (1 - epoch / o.epochs)
-        for i in rng.permutation(np.r_[keep, np.array(keep, int) + len(bags)]).astype(int):
-            ids, counts = np.unique(bags[i] if i < len(bags) else pieces[i - len(bags)], return_counts=True)
-            i %= len(bags)
-            if not len(ids):
-                continue
+        for i in rng.permutation(np.flatnonzero(full & (at % 5 > 0))):
+            ids, counts = bags[i]
             part = counts / counts.sum()
             mean = part @ emb[ids]
             g = _softmax(mean @ layer + bias)
@@ -117,43 +126,58 @@ def train(texts: list[str], labels: list[str], o: LangOptions) -> LangModel:
             bias -= rate * g
             # Averaging divides the gradient of each row; the step is scaled back up.
             emb[ids] -= rate * len(ids) * 0.1 * np.outer(part, back)
-    table = (emb @ layer).astype(np.float32)
-    held = [i for i in range(len(bags)) if i % 5 == 0 and len(bags[i])]
+    table = (np.rint((emb @ layer) * 65536) / 65536).astype(np.float32)
+    held = np.flatnonzero(full & (at % 5 == 0))
     model = LangModel(languages, table, bias.astype(np.float32), 1.0, 0.0)
-    if held:
-        logits = np.array([table[bags[i]].mean(axis=0) + bias for i in held])
-        truth = y[held]
+    if len(held):
+        logits = np.array([bags[i][1] @ table[bags[i][0]] / bags[i][1].sum() + bias for i in held])
         grid = np.geomspace(0.3, 5, 40)
-        loss = [-np.log(_softmax(logits / t)[np.arange(len(held)), truth] + 1e-9).mean() for t in grid]
+        loss = [-np.log(_softmax(logits / t)[np.arange(len(held)), y[held]] + 1e-9).mean() for t in grid]
         model.temperature = float(grid[int(np.argmin(loss))])
-        sure = np.sort(_softmax(logits / model.temperature).max(axis=1))
-        # At most the given share of the calibration rows is less sure; no bound above 0.35.
-        model.bound = float(min(0.35, sure[int(o.rejected * len(sure))] * 0.999))
+        sure = _softmax(logits / model.temperature).max(axis=1)
+        most = 1 / len(languages) + 0.25 * (1 - 1 / len(languages))
+        model.bound = float(min(most, np.quantile(sure, o.rejected) * 0.999))
     return model
 
 
 def fit(docs: DataFrame, options: LangOptions | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LangModel:
-    """Train on a bounded sample of the rows whose language isn't null and whose text has a letter."""
+    """Train on a bounded sample of the rows whose language isn't null and whose text has a letter.
+
+    Every language that occurs is learned. What comes to the driver is a count for each language and at most
+    max_rows windows of train_chars characters (a window for each language, if there are more languages than that).
+    """
     o = options or LangOptions()
     text, lang = F.col(text_col), F.col(lang_col)
     labelled = docs.where(lang.isNotNull() & text.rlike(r"\p{L}"))
-    counts = labelled.groupBy(lang.alias("lang")).count().orderBy(F.desc("count"), "lang").limit(o.max_languages).collect()
+    counts = labelled.groupBy(lang.alias("lang")).count().orderBy("lang").collect()
     if not counts:
         return train([], [], o)
-    # A hash picks a quarter more than per_language rows of each language on average, in one pass.
-    spot = F.xxhash64(F.col(id_col).cast("string"), text, F.lit(o.seed))
-    shares = F.create_map(*[F.lit(v) for c in counts for v in (c["lang"], int(min(1.0, 1.25 * o.per_language / c["count"]) * (1 << 30)) + 1)])
-    picked = labelled.where(F.pmod(spot, F.lit(1 << 30)) < shares[lang])
-    got = sorted((r["spot"], r["text"], r["lang"]) for r in picked.select(spot.alias("spot"), F.substring(text, 1, o.train_chars).alias("text"), lang.alias("lang")).collect())
+    each = max(1, min(o.per_language, o.max_rows // len(counts)))
+    # The rows with the smallest hashes are taken: a bound on the hash leaves few more than are needed, in one pass.
+    spot = F.pmod(F.xxhash64(F.col(id_col).cast("string"), text, F.lit(o.seed)), F.lit(1 << 30))
+    share = lambda n: min(1.0, (1.25 * each + 12) / n)
+    bounds = docs.sparkSession.createDataFrame([(c["lang"], int(share(c["count"]) * (1 << 30)) + 1) for c in counts], "named string, bound long")
+    start = F.pmod(F.xxhash64(spot), F.greatest(F.length(text) - o.train_chars + 1, F.lit(1))) + 1
+    rows = labelled.select(lang.alias("lang"), spot.alias("spot"), F.substring(text, start.cast("int"), F.lit(o.train_chars)).alias("window"))
+    picked = rows.join(F.broadcast(bounds), (F.col("lang") == F.col("named")) & (F.col("spot") < F.col("bound"))).select("spot", "window", "lang")
+    sample: list[tuple[str, str]] = []
     seen: dict[str, int] = {}
-    sample = []
-    for _, t, x in got:
-        seen[x] = seen.get(x, 0) + 1
-        if seen[x] <= o.per_language:
-            sample.append((t, x))
+    for _, window, name in sorted(map(tuple, picked.collect())):
+        seen[name] = seen.get(name, 0) + 1
+        if seen[name] <= each:
+            sample.append((window, name))
     return train([t for t, _ in sample], [x for _, x in sample], o)
 
 
+def _add_rows(sums: np.ndarray, table: np.ndarray, ids: np.ndarray, owner: np.ndarray) -> None:
+    """Add the table's rows ids to the sums of their ascending owners, a few million numbers at a time."""
+    step = max(1024, (1 << 21) // max(1, table.shape[1]))
+    for s in range(0, len(ids), step):
+        own = owner[s : s + step]
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        sums[own[first]] += np.add.reduceat(table[ids[s : s + step]], first, axis=0, dtype=np.float64)
+
+
 def predict(docs: DataFrame, model: LangModel, options: LangOptions | None = None, text_col: str = "text") -> DataFrame:
     """docs with lang_pred, score and rejected.
 
@@ -164,7 +188,8 @@ def predict(docs: DataFrame, model: LangModel, options: LangOptions | None = Non
     """
     o = options or LangOptions()
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
-    inside = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn("_letters", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    letters = fresh(docs, "letters")
+    inside = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn(letters, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
     tables = docs.sparkSession.sparkContext.broadcast(model)
     at = inside.columns.index(text_col)
 
@@ -181,12 +206,10 @@ def predict(docs: DataFrame, model: LangModel, options: LangOptions | None = Non
                 total = np.zeros(len(offsets) - 1)
                 for size, ids in zip(o.sizes, ngrams(fold(raw), o), strict=True):
                     # n-grams that reach into the next text don't count.
-                    stop = np.maximum(offsets[1:] - size + 1, offsets[:-1])
-                    span = np.zeros((len(ids) + 1, len(m.languages)))
-                    np.cumsum(m.table[ids], axis=0, dtype=np.float64, out=span[1:])
-                    lo, hi = np.minimum(offsets[:-1], len(ids)), np.minimum(stop, len(ids))
-                    sums += span[hi] - span[lo]
-                    total += hi - lo
+                    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(ids)]
+                    inner = np.flatnonzero(np.arange(len(ids)) + size <= offsets[owner + 1])
+                    total += np.bincount(owner[inner], minlength=len(total))
+                    _add_rows(sums, m.table, ids[inner], owner[inner])
                 z = sums / np.maximum(total, 1)[:, None] + m.bias
                 p = _softmax(z / m.temperature)
                 best[rows], score[rows] = p.argmax(axis=1), p.max(axis=1)
@@ -196,7 +219,7 @@ def predict(docs: DataFrame, model: LangModel, options: LangOptions | None = Non
                 [*batch.schema.names[:-1], "lang_pred", "score", "rejected"],
             )
 
-    schema = inside.drop("_letters").schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
+    schema = inside.drop(letters).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
     return inside.mapInArrow(run, schema)
 
 
