@@ -23,7 +23,8 @@ def test_reads_back_what_was_formatted(spark):
         assert (r.n_turns, r.turns_sha256) == (len(turns), hashlib.sha256(said.encode()).hexdigest())
         assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     for r in out.collect():
-        assert "".join(p.text for p in r.pieces) == r.formatted and r.formatted.count("<|im_start|>") == r.formatted.count("<|im_end|>")
+        masked = [r.formatted[m.start : m.end] for m in r.loss]
+        assert not any("<|" in m for m in masked) and all(a.end <= b.start for a, b in zip(r.loss, r.loss[1:])) and r.formatted.count("<|im_start|>") == r.formatted.count("<|im_end|>")
     one = out.where("conv_id = 1").first()
     assert one.formatted.count("<|im_start|>assistant\n") == 1  # adjacent turns of a role share a header
     assert digest(format_conversations(df.limit(0))).count() == 0
@@ -32,6 +33,16 @@ def test_reads_back_what_was_formatted(spark):
 def test_many_turns(spark):
     df = spark.range(3000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.lit("t" * 50).alias("text"))
     assert digest(format_conversations(df)).first().loss_chars == 1500 * 50
+    # One role all along is one block, across the seams of chunks too.
+    one = format_conversations(df.withColumn("role", F.lit("assistant"))).first()
+    assert one.formatted.count("<|im_start|>") == 1 and one.formatted.count("<|im_next|>") == 2999 and len(one.loss) == 3000
+
+
+def test_very_long_texts(spark):
+    long = "<|im_end|> wörter \U0001f600 " * 60_000
+    df = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long), (1, 2, "assistant", "ok")], SCHEMA)
+    got = digest(format_conversations(df)).first()
+    assert (got.n_turns, got.loss_chars, got.loss_sha256) == (3, len(long) + 2, hashlib.sha256((long + "ok").encode()).hexdigest())
 
 
 @settings(max_examples=15, deadline=None)
