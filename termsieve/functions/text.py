@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from termsieve.config import check_mask_char
 
+from .arrays import cut, let, parts, running
 from .tables import TRIM_CLASS
 
 RANGES = "array<struct<start:int,end:int>>"
@@ -18,11 +19,6 @@ FATAL = ("empty", "normalizes-to-empty", "control-character", "punctuation-only"
 MAX_TERM_LENGTH = 128
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with the value computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def code_points(text: Column) -> Column:
     """The characters of a text, one code point each."""
     return F.filter(F.split(text, ""), lambda c: c != "")
@@ -112,35 +108,39 @@ def severity_name(rank: Column) -> Column:
 def merge_ranges(ranges: Column) -> Column:
     """Ranges by start, overlapping and touching ones made one."""
     plain = F.transform(ranges, lambda r: F.struct(r["start"].cast("int").alias("start"), r["end"].cast("int").alias("end")))
+    least = -(1 << 31)
 
-    def step(acc: Column, r: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], r["end"]).alias("end"))
-        return F.when((F.size(acc) > 0) & (r["start"] <= last["end"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined))).otherwise(
-            F.concat(acc, F.array(r))
-        )
+    def opened(rs: Column) -> Column:
+        # A range that starts after the end of all before it opens a new one, which ends where all before the next one do.
+        reach = running(F.transform(rs, lambda r: r["end"]), F.greatest, least)
+        firsts = F.filter(F.arrays_zip(rs.alias("r"), reach.alias("to")), lambda z: (z["r"]["start"] > z["to"]) | (z["to"] == least))
+        return let(firsts, lambda f: closed(f, F.array_max(F.transform(rs, lambda r: r["end"]))))
+
+    def closed(firsts: Column, last: Column) -> Column:
+        ends = F.concat(F.transform(F.slice(firsts, F.lit(2), F.size(firsts)), lambda z: z["to"]), F.array(last))
+        return F.transform(F.arrays_zip(firsts.alias("f"), ends.alias("end")), lambda z: F.struct(z["f"]["r"]["start"].alias("start"), z["end"].alias("end")))
 
-    return F.aggregate(F.array_sort(plain), F.array().cast(RANGES), step)
+    return F.when(F.size(ranges) > 0, let(F.array_sort(plain), opened)).when(ranges.isNotNull(), F.array().cast(RANGES))
 
 
 def mask_ranges(text: Column, ranges: Column, mask_char: str = "*") -> Column:
     """text with every code point in the ranges replaced; its length in code points stays."""
     char = F.lit(check_mask_char(mask_char))
 
-    def rebuilt(m: Column) -> Column:
+    def rebuilt(m: Column, pieces: Column) -> Column:
         n = F.length(text)
         clamp = lambda v: F.greatest(F.lit(0), F.least(v, n))
         opened = F.concat(F.array(F.lit(0)), F.transform(m, lambda r: clamp(r["end"])))
-        pieces = F.transform(
+        said = F.transform(
             F.arrays_zip(m.alias("r"), F.slice(opened, F.lit(1), F.size(m)).alias("at")),
             lambda z: F.concat(
-                F.substring(text, z["at"] + 1, clamp(z["r"]["start"]) - z["at"]),
+                cut(pieces, z["at"], F.greatest(z["at"], clamp(z["r"]["start"]))),
                 F.repeat(char, F.greatest(F.lit(0), clamp(z["r"]["end"]) - clamp(z["r"]["start"]))),
             ),
         )
-        return F.concat(F.array_join(pieces, ""), F.substring(text, F.element_at(opened, -1) + 1, n))
+        return F.concat(F.array_join(said, ""), cut(pieces, F.element_at(opened, -1), n))
 
-    return F.when(F.size(ranges) > 0, let(merge_ranges(ranges), rebuilt)).otherwise(text)
+    return F.when(F.size(ranges) > 0, let(merge_ranges(ranges), lambda m: let(parts(text), lambda p: rebuilt(m, p)))).otherwise(text)
 
 
 def stride_sample(index: Column, total: Column, count: int) -> Column:
