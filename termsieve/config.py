@@ -26,9 +26,33 @@ class ModerationInputError(ValueError):
         self.code = code
 
 
-class DuplicateBatchIdError(ValueError):
+class BatchError(ValueError):
+    """A batch that is rejected as a whole; code says why, details more."""
+
+    code = "INVALID_REQUEST"
+
+    def __init__(self, message: str, details: dict | None = None):
+        super().__init__(message)
+        self.details = details or {}
+
+
+class DuplicateBatchIdError(BatchError):
     """Two items of a batch share an id."""
 
+    code = "DUPLICATE_BATCH_ID"
+
+
+class BatchEmptyError(BatchError):
+    """A batch without items."""
+
+    code = "BATCH_EMPTY"
+
+
+class BatchTooLargeError(BatchError):
+    """A batch of more items than allowed."""
+
+    code = "BATCH_TOO_LARGE"
+
 
 @dataclass(frozen=True)
 class NormalizeOptions:
@@ -65,13 +89,13 @@ class Policy:
 
 @dataclass(frozen=True)
 class MatcherOptions:
-    """What holds for every scan of a matcher."""
+    """What holds for every scan of a matcher; max_raw_matches bounds the occurrences looked at in a text, None doesn't."""
 
     normalize: NormalizeOptions = field(default_factory=NormalizeOptions)
     fuzzy: FuzzyOptions = field(default_factory=FuzzyOptions)
     word_boundary: bool = True
     overlap: str = "leftmost-longest"
-    max_raw_matches: int = 200_000
+    max_raw_matches: int | None = None
     allowlist: tuple[str, ...] = ()
 
 

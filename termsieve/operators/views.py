@@ -144,6 +144,13 @@ class Normalizer:
     def string(self, text: str) -> str:
         return self.view(text).text
 
+    def strings(self, texts: list[str]) -> list[str]:
+        """The normalized form of each text, in one call for all: nothing combines with the zero character between them."""
+        if not texts:
+            return []
+        whole = "\0".join(texts)
+        return self.view(whole).text.split("\0") if whole.count("\0") == len(texts) - 1 else [self.string(t) for t in texts]
+
 
 _ASCII_BLANKS = {ord(c): " " for c in tables.WHITESPACE if c.isascii()}
 
@@ -196,6 +203,14 @@ def fold(view: View, o: FuzzyOptions) -> View:
     return View(view.text.translate(table), starts, ends, Gaps(kept, len(view.text)))
 
 
+def fold_all(texts: list[str], o: FuzzyOptions) -> list[str]:
+    """The fuzzy form of each of some normalized texts."""
+    whole = "\0".join(texts)
+    if o.collapse_repeats or not texts or whole.count("\0") != len(texts) - 1:
+        return [fold(View(t), o).text for t in texts]
+    return whole.translate(_folding(o.leetspeak, o.strip_separators)[0]).split("\0")
+
+
 def _fold_one_by_one(view: View, o: FuzzyOptions) -> View:
     out: list[str] = []
     starts: list[int] = []

@@ -5,20 +5,22 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from termsieve.config import (
-    MATCH_MODES, OVERLAPS, SEVERITIES, DuplicateBatchIdError, InvalidMaskCharError, MatcherOptions, ModerationInputError, Policy, ScanOptions, check_mask_char,
+    MATCH_MODES, OVERLAPS, SEVERITIES, BatchEmptyError, BatchTooLargeError, DuplicateBatchIdError, InvalidMaskCharError, MatcherOptions, ModerationInputError, Policy,
+    ScanOptions, check_mask_char,
 )
+from termsieve.functions.columns import fresh
 from termsieve.functions.text import js_trim, utf16_length
 from termsieve.operators import verdict
 from termsieve.operators.matcher import WILDCARDS, Matcher, Term
 from termsieve.operators.scan import ScanCall, Shipped, mask_column, scan_and_mask_column, scan_column
 from termsieve.sources.terms import Lexicon
 
-MAX_TERMS = 5_000_000
+MAX_TERMS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -108,8 +110,9 @@ class Moderator:
         m = F.col("matches")
         known = lambda c: F.when(m.isNotNull(), c)
         if o.mask:
-            found = df.withColumn("_found", scan_and_mask_column(self.shipped, text, self.call(o), char))
-            out = found.withColumns({"matches": F.col("_found.matches"), "masked_text": F.col("_found.masked_text")}).drop("_found")
+            both = fresh(df, "found")
+            found = df.withColumn(both, scan_and_mask_column(self.shipped, text, self.call(o), char))
+            out = found.withColumns({"matches": F.col(both)["matches"], "masked_text": F.col(both)["masked_text"]}).drop(both)
         else:
             out = df.withColumn("matches", self.matches_column(text, o))
         new = {
@@ -127,9 +130,10 @@ class Moderator:
 
     def find_all(self, df: DataFrame, options: ScanOptions | None = None, text_col: str = "text") -> DataFrame:
         """One row for each match: df's columns and the match's fields; texts without matches have none."""
-        found = df.withColumn("_match", F.explode(self.matches_column(self._text(df, text_col), options)))
+        match = fresh(df, "match")
+        found = df.withColumn(match, F.explode(self.matches_column(self._text(df, text_col), options)))
         own = [c for c in df.columns if c not in ("term_index", "term", "matched_text", "category", "severity", "match_type", "start", "end")]
-        return found.select(*[F.col(f"`{c}`") for c in own], "_match.*")
+        return found.select(*[F.col(f"`{c}`") for c in own], f"{match}.*")
 
     def contains(self, df: DataFrame, options: ScanOptions | None = None, text_col: str = "text") -> DataFrame:
         """df with contains: whether find_all would have a row."""
@@ -151,13 +155,28 @@ class Moderator:
 
     # -- batch contract ---------------------------------------------------------------------
 
-    def check_batch(self, items: DataFrame, options: ScanOptions | None = None, max_text_length: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    def check_batch(
+        self, items: DataFrame, options: ScanOptions | None = None, max_text_length: int = 100_000, max_items: int | None = None
+    ) -> tuple[DataFrame, DataFrame]:
         """(results, summary) for items (id, text[, item_index]).
 
-        A missing id becomes the item_index as text. Two items of one id fail the whole batch. A bad
-        text fails its item alone: it has success false and an error, others have data. text may be
-        a variant, of which only strings are texts.
+        A missing id becomes the item's index as text: item_index, or else its place in the frame, which should
+        then have an order of its own. A batch without items, with more than max_items, or with two items of one
+        id fails as a whole, which takes a look at the ids, not at the texts. A bad text fails its item alone: it
+        has success false and an error, others have data. text may be a variant, of which only strings are texts.
+        summary scans the texts again; check_batch_observed counts while the results are read.
         """
+        results = self._batch(items, options, max_text_length, max_items)
+        return results, batch_summary(results)
+
+    def check_batch_observed(
+        self, items: DataFrame, options: ScanOptions | None = None, max_text_length: int = 100_000, max_items: int | None = None
+    ) -> tuple[DataFrame, Observation]:
+        """The results of check_batch, and an observation with the summary's counts once the results have been read."""
+        summary = Observation("batch summary")
+        return self._batch(items, options, max_text_length, max_items).observe(summary, *_counts()), summary
+
+    def _batch(self, items: DataFrame, options: ScanOptions | None, max_text_length: int, max_items: int | None) -> DataFrame:
         kind = items.schema["text"].dataType
         if isinstance(kind, T.VariantType):
             is_null = F.col("text").isNull() | F.is_variant_null("text")
@@ -166,25 +185,24 @@ class Moderator:
         else:
             is_null, is_text = F.col("text").isNull(), F.lit(isinstance(kind, (T.StringType, T.NullType)))
             text = F.col("text").cast("string")
-        index = F.col("item_index") if "item_index" in items.columns else F.lit(None)
-        named = items.select(
-            F.coalesce(F.col("id").cast("string"), index.cast("string")).alias("id"), text.alias("text"), is_null.alias("_null"), F.coalesce(is_text, F.lit(False)).alias("_text")
-        )
-        twice = named.groupBy("id").count().where("count > 1").select("id").first()
-        if twice is not None:
-            raise DuplicateBatchIdError(f"duplicate batch id: {twice['id']}")
-        code = batch_error(F.col("text"), F.col("_null"), F.col("_text"), max_text_length)
-        judged = named.withColumn("_code", code)
-        judged = self.check(judged.withColumn("_good", F.when(F.col("_code").isNull(), F.col("text"))), options, "_good")
+        numbered = _with_ids(items)
+        total, most, twice = numbered.groupBy("id").count().agg(F.sum("count"), F.max("count"), F.max_by("id", "count")).first()
+        if not total:
+            raise BatchEmptyError('Field "items" must contain at least one item')
+        if max_items is not None and total > max_items:
+            raise BatchTooLargeError("Batch exceeds the configured maximum number of items", {"batchMaxItems": max_items})
+        if most > 1:
+            raise DuplicateBatchIdError(f"duplicate batch id: {twice}", {"duplicateId": twice})
+        named = numbered.select("id", text.alias("text"), batch_error(text, is_null, F.coalesce(is_text, F.lit(False)), max_text_length).alias("code"))
+        judged = self.check(named.withColumn("good", F.when(F.col("code").isNull(), F.col("text"))), options, "good")
         fields = [c for c in ("matched", "decision", "risk_level", "hit_count", "unique_term_count", "categories", "matches", "masked_text", "lexicon") if c in judged.columns]
         messages = F.create_map(*[F.lit(v) for p in BATCH_MESSAGES.items() for v in p])
-        details = F.when(F.col("_code") == "TEXT_TOO_LONG", F.create_map(F.lit("max_text_length"), F.lit(max_text_length)))
-        good = F.col("_code").isNull()
-        results = judged.select(
+        details = F.when(F.col("code") == "TEXT_TOO_LONG", F.create_map(F.lit("max_text_length"), F.lit(max_text_length)))
+        good = F.col("code").isNull()
+        return judged.select(
             "id", good.alias("success"), F.when(good, F.struct(*fields)).alias("data"),
-            F.when(~good, F.struct(F.col("_code").alias("code"), F.try_element_at(messages, F.col("_code")).alias("message"), details.alias("details"))).alias("error"),
+            F.when(~good, F.struct(F.col("code").alias("code"), F.try_element_at(messages, F.col("code")).alias("message"), details.alias("details"))).alias("error"),
         )
-        return results, batch_summary(results)
 
     # -- metadata -----------------------------------------------------------------------------
 
@@ -220,11 +238,32 @@ def batch_error(text: Column, is_null: Column, is_text: Column, max_text_length:
     )
 
 
+def _counts() -> list[Column]:
+    return [
+        F.count("*").alias("total"), F.count_if("success").alias("succeeded"), F.count_if(~F.col("success")).alias("failed"),
+        F.count_if(F.coalesce(F.col("data")["matched"], F.lit(False))).alias("matched"),
+    ]
+
+
 def batch_summary(results: DataFrame) -> DataFrame:
-    matched = F.coalesce(F.col("data")["matched"], F.lit(False))
-    return results.agg(
-        F.count("*").alias("total"), F.count_if("success").alias("succeeded"), F.count_if(~F.col("success")).alias("failed"), F.count_if(matched).alias("matched")
-    )
+    return results.agg(*_counts())
+
+
+def _with_ids(items: DataFrame) -> DataFrame:
+    """(id, text): ids as text, the index where an id is missing."""
+    own = F.col("id").cast("string")
+    if "item_index" in items.columns:
+        return items.select(F.coalesce(own, F.col("item_index").cast("string")).alias("id"), "text")
+    if items.where("id is null").isEmpty():
+        return items.select(own.alias("id"), "text")
+    # A row's place is its place in its partition and the rows of the partitions before; one count for each partition.
+    placed = items.select(own.alias("id"), "text", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"))
+    before, ahead = [], 0
+    for part, n in sorted(map(tuple, placed.groupBy("part").count().collect())):
+        before.append((part, ahead - (part << 33)))
+        ahead += n
+    offsets = F.broadcast(items.sparkSession.createDataFrame(before, "at int, ahead long"))
+    return placed.join(offsets, F.col("part") == F.col("at")).select(F.coalesce("id", (F.col("row") + F.col("ahead")).cast("string")).alias("id"), "text")
 
 
 def _mode(mode: str) -> str:

@@ -1,6 +1,6 @@
 import pytest
 
-from termsieve.config import DuplicateBatchIdError, FuzzyOptions, InvalidMaskCharError, MatcherOptions, ModerationInputError, Policy, ScanOptions
+from termsieve.config import BatchEmptyError, BatchTooLargeError, DuplicateBatchIdError, FuzzyOptions, InvalidMaskCharError, MatcherOptions, ModerationInputError, Policy, ScanOptions
 from termsieve.plans.moderator import ModeratorOptions, moderator_from_terms
 
 from .terms import TERMS
@@ -151,6 +151,37 @@ def test_batch(spark, base):
         base.check_batch(spark.createDataFrame([("x", "1"), ("x", "2")], "id string, text string"))
 
 
+def test_batches_that_fail_as_a_whole_and_default_ids(spark, base):
+    schema = "id string, text string"
+    results, summary = base.check_batch(spark.createDataFrame([(None, "a"), (None, "b")], schema))
+    assert [r.id for r in results.collect()] == ["0", "1"] and summary.first().total == 2
+    many = spark.createDataFrame([(None if i % 3 else f"own{i}", "违规词" if i % 2 else "x") for i in range(200)], schema).repartition(5).cache()
+    ids = [r.id for r in many.collect()]
+    results, seen = base.check_batch_observed(many)
+    assert [r.id for r in results.collect()] == [str(i) if v is None else v for i, v in enumerate(ids)]
+    assert seen.get == {"total": 200, "succeeded": 200, "failed": 0, "matched": 100}
+    with pytest.raises(DuplicateBatchIdError) as e:
+        base.check_batch(spark.createDataFrame([("same", "a"), ("same", "b")], schema))
+    assert (e.value.code, e.value.details) == ("DUPLICATE_BATCH_ID", {"duplicateId": "same"})
+    with pytest.raises(DuplicateBatchIdError):
+        base.check_batch(spark.createDataFrame([("1", "a"), (None, "b")], schema))
+    with pytest.raises(BatchEmptyError) as e:
+        base.check_batch(spark.createDataFrame([], schema))
+    assert e.value.code == "BATCH_EMPTY"
+    with pytest.raises(BatchTooLargeError) as e:
+        base.check_batch(spark.createDataFrame([(None, f"t{i}") for i in range(6)], schema), max_items=5)
+    assert (e.value.code, e.value.details) == ("BATCH_TOO_LARGE", {"batchMaxItems": 5})
+    shared, _ = base.check_batch(spark.createDataFrame([(None, "b4dw0rd"), (None, "badword")], schema), ScanOptions(mode="fuzzy", mask=True))
+    got = shared.orderBy("id").collect()
+    assert (got[0].data.matches[0].match_type, got[1].data.masked_text) == ("fuzzy", "*******")
+
+
+def test_inner_names_do_not_clash(spark, base):
+    df = spark.createDataFrame([("违规词", 1, 2, 3)], "text string, _found int, _match int, __match int")
+    found = base.check(df, ScanOptions(mask=True)).first()
+    assert (found._found, found.masked_text) == (1, "***") and base.find_all(df).first()._match == 2
+
+
 def test_clashing_columns_and_empty_tables(spark, base):
     df = spark.createDataFrame([("违规词", 1, "kept")], "text string, matches int, term string")
     assert base.check(df).first().hit_count == 1 and base.find_all(df).first().term == "违规词"
