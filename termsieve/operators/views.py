@@ -1,8 +1,9 @@
 """Normalized and fuzzy views of a text, with the way back to its code points.
 
-Normalization looks at one code point at a time, so a table from characters to replacements decides
+Normalization looks at one code point at a time, so tables from characters to replacements decide
 it, filled as characters turn up. Texts without droppable, expanding or combining characters are
-translated in one call and keep their offsets; others go through a loop that records them.
+translated in one call and keep their offsets; others go through a loop that records them. Texts of
+some length are looked up as arrays of code points.
 """
 
 from __future__ import annotations
@@ -12,17 +13,30 @@ import unicodedata
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
+
 from termsieve.config import FuzzyOptions, NormalizeOptions
 from termsieve.functions import tables
 
 _MARK = None
 _STAYS, _LOWERS, _BECOMES, _MOVES = range(4)
+_UNKNOWN = 255
+_LONG = 256
+_POINTS = 0x110000
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def from_code_points(points: np.ndarray) -> str:
+    return points.tobytes().decode("utf-32-le", "surrogatepass")
 
 
 class Gaps:
     """Positions of a folded text before which separators were dropped, told from what was kept of n."""
 
-    def __init__(self, kept: list[int], n: int):
+    def __init__(self, kept: np.ndarray, n: int):
         self.kept, self.n = kept, n
 
     def __contains__(self, at: int) -> bool:
@@ -39,8 +53,8 @@ class View:
     """
 
     text: str
-    starts: list[int] | None = None
-    ends: list[int] | None = None
+    starts: list[int] | np.ndarray | None = None
+    ends: list[int] | np.ndarray | None = None
     breaks: frozenset[int] | set[int] | Gaps = frozenset()
 
     def origin(self, start: int, end: int) -> tuple[int, int]:
@@ -53,7 +67,7 @@ class View:
             return 0, 0
         start = max(0, min(start, n - 1))
         last = max(start + 1, min(end, n)) - 1
-        return self.starts[start], self.starts[last] + 1 if self.ends is None else self.ends[last]
+        return int(self.starts[start]), int(self.starts[last]) + 1 if self.ends is None else int(self.ends[last])
 
 
 class Normalizer:
@@ -67,6 +81,9 @@ class Normalizer:
         # What a character does: stays, is lower-cased, becomes another one, or anything else.
         self.kinds = _Kinds(self.replacement, options.lowercase)
         self.finders: dict[frozenset[str], re.Pattern] = {}
+        # The same by code point, for long texts.
+        self.kind_of = np.full(_POINTS, _UNKNOWN, np.uint8)
+        self.becomes = np.arange(_POINTS, dtype=np.uint32)
 
     def replacement(self, char: str) -> str | None:
         """What a character becomes: nothing, one or more characters; None for a combining mark."""
@@ -94,6 +111,8 @@ class Normalizer:
         if text.isascii():
             low = text.lower() if self.o.lowercase else text
             return View(low.translate(_ASCII_BLANKS) if self.o.unify_whitespace else low)
+        if len(text) >= _LONG:
+            return self._long_view(text)
         kinds = self.kinds
         odd = [c for c in set(text) if kinds[c]]
         moving = frozenset(c for c in odd if kinds[c] == _MOVES)
@@ -108,6 +127,23 @@ class Normalizer:
             return View(text)
         return View(text.translate(self.table))
 
+    def _long_view(self, text: str) -> View:
+        points = code_points(text)
+        kinds = self.kind_of[points]
+        most = kinds.max()
+        if most == _UNKNOWN:
+            for p in np.unique(points[kinds == _UNKNOWN]).tolist():
+                self.kind_of[p] = kind = self.kinds[chr(p)]
+                if kind in (_LOWERS, _BECOMES):
+                    self.becomes[p] = ord(self.table[p])
+            kinds = self.kind_of[points]
+            most = kinds.max()
+        if most == _STAYS:
+            return View(text)
+        if most == _MOVES:
+            return self._moved(text, frozenset(map(chr, np.unique(points[kinds == _MOVES]).tolist())))
+        return View(from_code_points(self.becomes[points]))
+
     def _moved(self, text: str, moving: frozenset[str]) -> View:
         if moving not in self.finders:
             if len(self.finders) >= 1000:
@@ -186,21 +222,27 @@ class _Kinds(dict):
 
 
 @lru_cache(maxsize=8)
-def _folding(leetspeak: bool, strip_separators: bool) -> tuple[dict[int, str | None], frozenset[str]]:
+def _folding(leetspeak: bool, strip_separators: bool) -> tuple[dict[int, str | None], np.ndarray, np.ndarray]:
+    """A table for str.translate, and by code point what is dropped and what the rest becomes."""
     leet = tables.LEET if leetspeak else {}
-    dropped = frozenset(tables.SEPARATORS) - frozenset(leet) if strip_separators else frozenset()
-    return {ord(k): v for k, v in leet.items()} | {ord(c): None for c in dropped}, dropped
+    gone = frozenset(tables.SEPARATORS) - frozenset(leet) if strip_separators else frozenset()
+    dropped, becomes = np.zeros(_POINTS, dtype=bool), np.arange(_POINTS, dtype=np.uint32)
+    dropped[[ord(c) for c in gone]] = True
+    for k, v in leet.items():
+        becomes[ord(k)] = ord(v)
+    return {ord(k): v for k, v in leet.items()} | {ord(c): None for c in gone}, dropped, becomes
 
 
 def fold(view: View, o: FuzzyOptions) -> View:
     """The fuzzy view of a normalized one: letters for look-alikes, separators dropped, runs collapsed."""
     if o.collapse_repeats or view.breaks:
         return _fold_one_by_one(view, o)
-    table, dropped = _folding(o.leetspeak, o.strip_separators)
-    kept = [i for i, c in enumerate(view.text) if c not in dropped]
-    starts = kept if view.starts is None else [view.starts[i] for i in kept]
-    ends = None if view.ends is None else [view.ends[i] for i in kept]
-    return View(view.text.translate(table), starts, ends, Gaps(kept, len(view.text)))
+    _, dropped, becomes = _folding(o.leetspeak, o.strip_separators)
+    points = code_points(view.text)
+    kept = np.flatnonzero(~dropped[points])
+    starts = kept if view.starts is None else np.asarray(view.starts)[kept]
+    ends = None if view.ends is None else np.asarray(view.ends)[kept]
+    return View(from_code_points(becomes[points[kept]]), starts, ends, Gaps(kept, len(view.text)))
 
 
 def fold_all(texts: list[str], o: FuzzyOptions) -> list[str]:

@@ -100,3 +100,12 @@ def test_shortcuts_agree_with_the_rules(text):
     v = normalizer(N).view(text)
     assert v.text == one_by_one(text)
     assert all(0 <= a < b <= len(text) for a, b in (v.origin(i, i + 1) for i in range(len(v.text))))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.characters(), min_size=1, max_size=30) | st.text(alphabet="aBéÉΣ臺台ＡﬁＢ①㈱\u0301\u200b\ud800😀 \n", min_size=1, max_size=30), st.booleans())
+def test_long_texts_are_seen_as_short_ones(text, lowercase):
+    n = normalizer(NormalizeOptions(lowercase=lowercase))
+    a, b = n._long_view(text), n.view(text)
+    assert a.text == b.text and all(a.origin(i, i + 1) == b.origin(i, i + 1) for i in range(len(a.text)))
+    assert n.view(text * 300).text == n.view(text * 10).text * 30 or any(unicodedata.category(c) == "Mn" for c in text)
