@@ -14,10 +14,17 @@ from termsieve.config import LANGUAGES, SEVERITIES
 from termsieve.functions import text as T
 from termsieve.operators.scan import normalize_column
 
+SMALL = 100_000
+_RANK_STEP = 1 << 40
 CONFIG = "source_path string, category string, display_name string, severity string, default_enabled boolean, description string"
 BOM = "\ufeff"
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """df marked for broadcast if it has at most SMALL rows."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
 @dataclass
 class BuildResult:
     """entries, categories, sources, flagged, issue_counts, and the report as one row."""
@@ -86,7 +93,7 @@ def attribute(lines: DataFrame, files: DataFrame, config: DataFrame, default_sev
     Each further file that has it counts as one cross-source duplicate; a file whose category is
     more severe than all before it takes the term over.
     """
-    mapped = files.join(F.broadcast(config), "source_path", "left").withColumn("category", F.coalesce("category", T.derive_category_id(F.col("source_path"))))
+    mapped = files.join(_small(config), "source_path", "left").withColumn("category", F.coalesce("category", T.derive_category_id(F.col("source_path"))))
     named = mapped.select(
         "file_seq", "source_path", "category",
         F.struct(
@@ -95,27 +102,32 @@ def attribute(lines: DataFrame, files: DataFrame, config: DataFrame, default_sev
         ).alias("info"),
     )
     categories = named.groupBy("category").agg(F.min_by("info", "file_seq").alias("info")).select(F.col("category").alias("id"), "info.*").drop("file_seq")
-    owners = named.select("file_seq", "category").join(categories.select(F.col("id").alias("category"), F.col("severity").alias("category_severity")), "category")
-    # One row for each term and file, with its first line; all that follows is by term.
-    per_file = (
-        lines.groupBy("term", "file_seq").agg(F.min("line_no").alias("line_no"), F.count("*").alias("n"), F.first("source_path").alias("source_path"))
-        .join(F.broadcast(owners), "file_seq").withColumn("rank", T.severity_rank(F.col("category_severity")))
-    )
-    by_file = Window.partitionBy("term").orderBy("file_seq")
-    earlier = by_file.rowsBetween(Window.unboundedPreceding, -1)
-    placed = per_file.withColumn("nth", F.row_number().over(by_file)).withColumn("before", F.max("rank").over(earlier))
-    owner = F.max_by(F.struct("category", F.col("category_severity").alias("severity"), "source_path"), F.struct("rank", -F.col("file_seq")))
-    first = F.min_by(F.struct("file_seq", "line_no", F.col("source_path").alias("first_path")), "nth")
-    grouped = placed.groupBy("term").agg(
-        first.alias("f"), owner.alias("o"), F.collect_set("source_path").alias("paths"), F.sum("n").alias("lines"), F.count("*").alias("files"),
-        F.count_if((F.col("nth") > 1) & (F.col("rank") > F.col("before"))).alias("reassigned"),
+    owners = named.select("file_seq", "source_path", "category").join(categories.select(F.col("id").alias("category"), F.col("severity").alias("category_severity")), "category")
+    owners = _small(owners.withColumn("rank", T.severity_rank(F.col("category_severity"))))
+    # One row for each term and file, then one for each term; numbers alone go through the aggregates.
+    per_file = lines.groupBy("term", "file_seq").agg(F.min("line_no").alias("line_no"), F.count("*").alias("n"))
+    per_file = per_file.join(owners.select("file_seq", "rank", "source_path"), "file_seq")
+    highest = F.max(F.col("rank") * F.lit(_RANK_STEP) - F.col("file_seq"))
+    firsts = [F.min(F.when(F.col("rank") == r, F.col("file_seq"))).alias(f"first_{r}") for r in range(4)]
+    by_term = per_file.groupBy("term").agg(
+        F.min("file_seq").alias("file_seq"), F.min_by("line_no", "file_seq").alias("line_no"), highest.alias("top"), *firsts,
+        F.sum("n").alias("lines"), F.count("*").alias("files"), F.collect_set("source_path").alias("paths"),
     )
+    # A file takes a term over if its severity is above that of all files before: where a rank turns up before all higher ones.
+    never = F.lit(_RANK_STEP)
+    later = lambda r: F.least(never, never, *[F.coalesce(F.col(f"first_{k}").cast("long"), never) for k in range(r + 1, 4)])
+    rises = sum((F.coalesce(F.col(f"first_{r}") < later(r), F.lit(False)).cast("long") for r in range(4)), F.lit(0))
+    rank = F.ceil(F.col("top") / _RANK_STEP)
+    numbered = by_term.withColumns({"reassigned": rises - 1, "owner": (rank * _RANK_STEP - F.col("top")).cast("int")})
+    owner = owners.select(F.col("file_seq").alias("owner"), "category", F.col("category_severity").alias("severity"), "source_path")
+    first = owners.select("file_seq", F.col("source_path").alias("first_path"))
+    grouped = numbered.join(owner, "owner").join(first, "file_seq")
     # Normal forms and flags depend on the term alone: they are worked out once for each.
     known = grouped.withColumn("normalized", normalize_column(F.col("term"))).withColumn("issues", T.inspect_term(F.col("term"), F.col("normalized")))
     odd = known.where(F.size("issues") > 0).select("term", "lines", "issues")
     flagged = lines.join(odd.drop("lines"), "term").select("term", "source_path", "file_seq", "line_no", "issues")
     terms = known.where(~T.is_fatal(F.col("issues"))).select(
-        "term", "normalized", "issues", "f.*", "o.category", "o.severity", "o.source_path", F.array_sort(F.array_remove("paths", F.col("o.source_path"))).alias("also_found_in"),
+        "term", "normalized", "issues", "file_seq", "line_no", "first_path", "category", "severity", "source_path", F.array_sort(F.array_remove("paths", F.col("source_path"))).alias("also_found_in"),
         "lines", "files", "reassigned", (F.size("issues") > 0).alias("needs_review"), T.detect_language(F.col("term")).alias("language"),
     )
     return {"categories": categories, "flagged": flagged, "odd": odd, "terms": terms, "mapped": mapped}
@@ -136,8 +148,11 @@ def build_lexicon(
     lines, counts = parse_files(files)
     parts = attribute(lines, counts, config, default_severity)
     terms, odd = parts["terms"], parts["odd"]
-    # The index needs one order over all terms, which a lexicon's size allows.
-    entries = terms.withColumn("term_index", F.row_number().over(Window.orderBy("file_seq", "line_no")) - 1)
+    # Terms are numbered within their files, after the terms of the files before.
+    sizes = terms.groupBy("file_seq").agg(F.count("*").alias("n"))
+    ahead = sizes.select("file_seq", F.coalesce(F.sum("n").over(Window.orderBy("file_seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    inside = F.row_number().over(Window.partitionBy("file_seq").orderBy("line_no")) - 1
+    entries = terms.withColumn("term_index", inside).join(ahead, "file_seq").withColumn("term_index", (F.col("term_index") + F.col("ahead")).cast("int")).drop("ahead")
     by_category = terms.groupBy("category").agg(F.count("*").alias("term_count"))
     categories = parts["categories"].join(by_category, F.col("id") == F.col("category"), "left").drop("category")
     categories = categories.withColumn("term_count", F.coalesce("term_count", F.lit(0)).cast("long"))
@@ -196,26 +211,41 @@ def to_artifact(result: BuildResult) -> dict:
     }
 
 
+# Headings, labels and notes of the report, and the columns they show.
+REPORT_TITLE, REPORT_EMPTY = "# Lexicon build report", "No issues detected."
+REPORT_TOTALS = (
+    ("Raw term lines", "raw_line_count"), ("Empty or comment lines", "empty_line_count"), ("Terms before de-duplication", "term_count_before_dedupe"),
+    ("Terms after de-duplication", "term_count_after_dedupe"), ("Duplicates removed", "duplicate_count"), ("Duplicates across source files", "cross_source_duplicate_count"),
+    ("Terms re-assigned to a higher-severity category", "reassigned_count"), ("Normalized-form collisions", "normalized_collision_count"),
+    ("Single-character terms", "single_character_term_count"), ("Suspicious terms (flagged)", "suspicious_term_count"), ("Terms kept but flagged for review", "needs_review_term_count"),
+)
+REPORT_KEPT_NOTE = (
+    "Kept terms counts the terms a file contributed *first*. Terms an earlier file already",
+    "contributed are counted there, unless they were re-assigned by severity.",
+)
+
+
+def _table(head: tuple[str, ...], rows: list) -> list[str]:
+    line = lambda cells: "| " + " | ".join(map(str, cells)) + " |"
+    return [line(head), line(["---"] * len(head)), *map(line, rows), ""]
+
+
 def render_report(result: BuildResult) -> str:
-    """The build report in Markdown."""
+    """The build report in Markdown; its rows are categories, files and issues, never terms."""
     r = result.report.first()
-    rows = lambda df, *cols: [[row[c] for c in cols] for row in df.collect()]
-    table = lambda head, body: ["| " + " | ".join(head) + " |", "|" + " --- |" * len(head), *("| " + " | ".join(map(str, b)) + " |" for b in body), ""]
-    totals = [
-        ("Raw term lines", "raw_line_count"), ("Empty or comment lines", "empty_line_count"), ("Terms before de-duplication", "term_count_before_dedupe"),
-        ("Terms after de-duplication", "term_count_after_dedupe"), ("Duplicates removed", "duplicate_count"), ("Duplicates across source files", "cross_source_duplicate_count"),
-        ("Terms re-assigned to a higher-severity category", "reassigned_count"), ("Normalized-form collisions", "normalized_collision_count"),
-        ("Single-character terms", "single_character_term_count"), ("Suspicious terms (flagged)", "suspicious_term_count"), ("Terms kept but flagged for review", "needs_review_term_count"),
-    ]
-    issues = rows(result.issue_counts.orderBy(F.desc("n"), "issue"), "issue", "n")
-    out = [
-        "# Lexicon build report", "", f"- Built at: {r['built_at']}", f"- Lexicon version: {r['version']}", f"- Upstream commit: {r['upstream_commit'] or '(none)'}",
-        f"- Upstream synced at: {r['synced_at'] or '(unknown)'}", "", "## Totals", "", *table(["Metric", "Value"], [(n, r[c]) for n, c in totals]),
-        "## Per category", "", *table(["Category", "Display name", "Severity", "Terms"], rows(result.categories.orderBy("id"), "id", "display_name", "severity", "term_count")),
-        "## Per source file", "", *table(["Source", "Category", "Raw lines", "Skipped lines", "Kept terms"], rows(result.sources.orderBy("file_seq"), "path", "category", "raw_line_count", "empty_line_count", "term_count")),
-        "## Flagged term issues", "", *(table(["Issue", "Count"], issues) if issues else ["No issues detected.", ""]),
-    ]
-    return "\n".join(out) + "\n"
+    code = lambda v: f"`{v}`"
+    categories = [(code(c["id"]), c["display_name"], c["severity"], c["term_count"]) for c in result.categories.orderBy("id").collect()]
+    sources = [(code(s["path"]), code(s["category"]), s["raw_line_count"], s["empty_line_count"], s["term_count"]) for s in result.sources.orderBy("file_seq").collect()]
+    issues = [(i["issue"], i["n"]) for i in result.issue_counts.orderBy(F.desc("n"), "issue").collect()]
+    return "\n".join(
+        [
+            REPORT_TITLE, "", f"- Built at: {r['built_at']}", f"- Lexicon version: {r['version']}", f"- Upstream commit: {r['upstream_commit'] or '(none)'}",
+            f"- Upstream synced at: {r['synced_at'] or '(unknown)'}", "", "## Totals", "", *_table(("Metric", "Value"), [(label, r[c]) for label, c in REPORT_TOTALS]),
+            "## Per category", "", *_table(("Category", "Display name", "Severity", "Terms"), categories),
+            "## Per source file", "", *REPORT_KEPT_NOTE, "", *_table(("Source", "Category", "Raw lines", "Skipped lines", "Kept terms"), sources),
+            "## Flagged term issues", "", *(_table(("Issue", "Count"), issues) if issues else [REPORT_EMPTY, ""]),
+        ]
+    ) + "\n"
 
 
 def write_build(result: BuildResult, folder: str) -> None:
@@ -224,24 +254,35 @@ def write_build(result: BuildResult, folder: str) -> None:
     art = to_artifact(result)
     report = result.report.first().asDict()
     metadata = {k: art[k] for k in ("version", "upstreamCommit", "syncedAt", "builtAt", "termCount", "categories", "sources")}
-    flagged = [r.asDict() for r in result.flagged.orderBy("file_seq", "line_no").drop("file_seq").collect()]
     report["issue_counts"] = {r["issue"]: r["n"] for r in result.issue_counts.collect()}
-    files = {
-        "lexicon.json": json.dumps(art, ensure_ascii=False) + "\n", "metadata.json": json.dumps(metadata, ensure_ascii=False, indent=2) + "\n",
-        "build-report.json": json.dumps(report, ensure_ascii=False, indent=2) + "\n",
-        "review-needed.json": json.dumps({"generatedAt": report["built_at"], "count": len(flagged), "terms": flagged}, ensure_ascii=False, indent=2) + "\n",
-        "build-report.md": render_report(result),
-    }
     jvm = spark._jvm
-    for name, content in files.items():
+
+    def put(name: str, pieces) -> None:
         path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
         out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
-        out.write(bytearray(content.encode("utf-8")))
+        for p in pieces:
+            out.write(bytearray(p.encode("utf-8")))
         out.close()
+
+    pretty = lambda v: json.dumps(v, ensure_ascii=False, indent=2)
+    put("lexicon.json", [json.dumps(art, ensure_ascii=False) + "\n"])
+    put("metadata.json", [pretty(metadata) + "\n"])
+    put("build-report.json", [pretty(report) + "\n"])
+    put("build-report.md", [render_report(result)])
+    put("review-needed.json", _review_lines(result, report["built_at"]))
     for name in ("entries", "categories", "sources"):
         getattr(result, name).write.mode("overwrite").parquet(f"{folder}/tables/{name}")
 
 
+def _review_lines(result: BuildResult, at: str):
+    """The flagged lines as one JSON document, a partition of them at a time."""
+    lines = result.flagged.orderBy("file_seq", "line_no").drop("file_seq")
+    yield f'{{"generatedAt": {json.dumps(at)}, "count": {lines.count()}, "terms": ['
+    for i, r in enumerate(lines.toLocalIterator()):
+        yield (",\n" if i else "\n") + json.dumps(r.asDict(), ensure_ascii=False)
+    yield "\n]}\n"
+
+
 def snapshot(files: DataFrame) -> DataFrame:
     """(path, sha256, bytes, terms): each file's distinct cleaned terms."""
     numbered = files.withColumn("file_seq", F.lit(0))

@@ -101,16 +101,13 @@ def read_whole(spark: SparkSession, path: str) -> str | None:
 def check_artifact(value: object) -> dict:
     """The artifact if it has the fields of format 1."""
     if not isinstance(value, dict):
-        raise LexiconLoadError("lexicon artifact is not an object")
+        raise LexiconLoadError("a lexicon has to be a JSON object")
     if value.get("formatVersion") != 1:
-        raise LexiconLoadError(f"unsupported lexicon format version: {value.get('formatVersion')}")
-    for name in ("version", "builtAt", "terms", "categoryIndex", "severityIndex", "languageIndex", "flags"):
-        if not isinstance(value.get(name), str):
-            raise LexiconLoadError(f'lexicon artifact field "{name}" is missing or not a string')
-    if not isinstance(value.get("categories"), list):
-        raise LexiconLoadError('lexicon artifact field "categories" is missing')
-    if isinstance(value.get("termCount"), bool) or not isinstance(value.get("termCount"), (int, float)):
-        raise LexiconLoadError('lexicon artifact field "termCount" is missing')
+        raise LexiconLoadError(f"lexicons of format {value.get('formatVersion')} can't be read, only those of format 1")
+    kinds = dict.fromkeys(("version", "builtAt", "terms", "categoryIndex", "severityIndex", "languageIndex", "flags"), str) | {"categories": list, "termCount": (int, float)}
+    for name, kind in kinds.items():
+        if not isinstance(value.get(name), kind) or isinstance(value.get(name), bool):
+            raise LexiconLoadError(f"the lexicon lacks {name}, or it is of the wrong type")
     return value
 
 
@@ -132,30 +129,41 @@ def load_artifact(
     spark: SparkSession, path: str, categories: list[str] | None = None, include_needs_review: bool = False, min_term_length: int = 2,
     allowlist_path: str | None = None, custom_terms_path: str | None = None,
 ) -> Lexicon:
-    """Read, validate and filter an artifact; columns are decoded and filtered by Spark."""
+    """Read, validate and filter an artifact."""
     raw = read_whole(spark, path)
     if raw is None:
         raise LexiconLoadError("cannot read lexicon artifact")
     try:
-        art = check_artifact(json.loads(raw))
+        art = json.loads(raw)
     except ValueError as e:
         raise LexiconLoadError("lexicon artifact is not valid JSON") from e
+    lexicon = lexicon_from_artifact(spark, art, categories, include_needs_review, min_term_length)
+    lexicon.allowlist, lexicon.custom_terms = tuple(read_allowlist(spark, allowlist_path)), tuple(read_custom_terms(spark, custom_terms_path))
+    lexicon.again = lambda: load_artifact(spark, path, categories, include_needs_review, min_term_length, allowlist_path, custom_terms_path)
+    return lexicon
+
+
+def lexicon_from_artifact(
+    spark: SparkSession, value: object, categories: list[str] | None = None, include_needs_review: bool = False, min_term_length: int = 2
+) -> Lexicon:
+    """Validate and filter an artifact; columns are decoded and filtered by Spark."""
+    art = check_artifact(value)
     listed = lambda v, sep: v.split(sep) if v else []
     total = len(listed(art["terms"], "\n"))
     if total != art["termCount"]:
-        raise LexiconLoadError(f"lexicon artifact declares {art['termCount']} terms but contains {total}")
+        raise LexiconLoadError(f"the lexicon says it has {art['termCount']} terms, but has {total}")
     names = ("categoryIndex", "severityIndex", "languageIndex", "flags")
     for name in names:
         values = listed(art[name], ",")
         if total and len(values) != total:
-            raise LexiconLoadError(f'lexicon artifact field "{name}" has {len(values)} values, expected {total}')
+            raise LexiconLoadError(f"{name} has {len(values)} values for {total} terms")
         if total and not all(v.strip().lstrip("-").isdigit() for v in values):
-            raise LexiconLoadError(f'lexicon artifact field "{name}" has a non-numeric value')
+            raise LexiconLoadError(f"{name} holds something that is no number")
     cats = art["categories"]
     if total:
         for i, v in enumerate(listed(art["categoryIndex"], ",")):
             if not 0 <= int(v) < len(cats):
-                raise LexiconLoadError(f"term {i} references an unknown category index")
+                raise LexiconLoadError(f"term {i} is in a category that the lexicon doesn't have")
     wanted = select_categories(categories, cats)
     one = spark.createDataFrame([(art["terms"], *(art[n] for n in names))], "terms string, category string, severity string, language string, flags string")
     numbers = [F.transform(F.split(n, ","), lambda v: v.cast("int")).alias(n) for n in ("category", "severity", "language", "flags")]
@@ -189,9 +197,7 @@ def load_artifact(
     listed_sources = art.get("sources") if isinstance(art.get("sources"), list) else []
     sources = spark.createDataFrame([(s.get("path"), s.get("name"), s.get("category"), s.get("termCount"), s.get("sha256")) for s in listed_sources], SOURCE)
     return Lexicon(
-        entries, frame, sources, art["version"], commit, art.get("syncedAt"), art["builtAt"], total,
-        tuple(read_allowlist(spark, allowlist_path)), tuple(read_custom_terms(spark, custom_terms_path)),
-        lambda: load_artifact(spark, path, categories, include_needs_review, min_term_length, allowlist_path, custom_terms_path),
+        entries, frame, sources, art["version"], commit, art.get("syncedAt"), art["builtAt"], total
     )
 
 
