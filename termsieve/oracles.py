@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import DISABLED, LEXICON, MAIN
+from .queries import BAD_ITEMS, FILE_CATEGORIES, LEXICON, MAIN
 
 WORD = "[0-9A-Za-z_\\u00c0-\\u024f\\u0370-\\u04ff]".encode().decode("unicode_escape")
 LOWER = "lower(text)"
@@ -109,23 +109,6 @@ SELECT doc_id, CAST(before + {length} * (k - 1) AS INTEGER) AS s, CAST(before +
 WHERE k < n AND NOT regexp_matches(right(a, 1), '{WORD}') AND NOT regexp_matches(left(nxt, 1), '{WORD}')"""
 
 
-LINES = """
-docs AS (SELECT * FROM documents WHERE source IS NOT NULL),
-files AS (SELECT source AS source_path, row_number() OVER (ORDER BY source) - 1 AS file_seq FROM (SELECT DISTINCT source FROM docs)),
-words AS (SELECT source AS source_path, doc_id, unnest(string_split(text, ' ')) AS term, generate_subscripts(string_split(text, ' '), 1) - 1 AS pos FROM docs),
-lines AS (SELECT w.source_path, file_seq, doc_id * 100000 + pos AS line_no, term FROM words w JOIN files USING (source_path) WHERE length(term) BETWEEN 1 AND 12 AND regexp_matches(term, '^[A-Za-z]+$')),
-config AS (SELECT *, CAST(substr(source_path, 4) AS INTEGER) AS i FROM files),
-mapped AS (SELECT *, 'c' || (i % 7) AS category FROM config),
-cats AS (SELECT category, ['low', 'medium', 'high'][arg_min(i, file_seq) % 3 + 1] AS severity, arg_min(i, file_seq) % 3 + 1 AS rank FROM mapped GROUP BY category),
-owners AS (SELECT file_seq, source_path, m.category, severity, rank FROM mapped m JOIN cats USING (category)),
-per_file AS (SELECT term, l.file_seq, min(line_no) AS line_no, count(*) AS n FROM lines l GROUP BY ALL),
-placed AS (SELECT p.*, o.source_path, o.category, o.severity, o.rank, row_number() OVER w AS nth, max(rank) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
-  FROM per_file p JOIN owners o USING (file_seq) WINDOW w AS (PARTITION BY term ORDER BY p.file_seq)),
-top AS (SELECT * FROM placed QUALIFY row_number() OVER (PARTITION BY term ORDER BY rank DESC, file_seq) = 1),
-terms AS (SELECT p.term, t.category, t.severity, t.source_path, arg_min(p.source_path, p.nth) AS first_path, count(*) AS files, sum(p.n) AS lines,
-  count(*) FILTER (p.nth > 1 AND p.rank > p.before) AS reassigned, length(p.term) = 1 AS needs_review
-  FROM placed p JOIN top t ON t.term = p.term GROUP BY ALL)"""
-
 INSPECT = r"""array_to_string(list_filter([
   CASE WHEN length(line) = 1 THEN 'single-character' END, CASE WHEN length(line) > 128 THEN 'too-long' END,
   CASE WHEN regexp_matches(line, '[\t\n\r\x0B\f]| {2,}') THEN 'contains-whitespace' END,
@@ -133,7 +116,7 @@ INSPECT = r"""array_to_string(list_filter([
   CASE WHEN regexp_matches(line, '^[0-9]+$') THEN 'digits-only' END, CASE WHEN regexp_matches(line, '^[\p{P}\p{S}]+$') THEN 'punctuation-only' END,
   CASE WHEN regexp_matches(line, '(?i)<[^>]{1,20}>|&[a-z]{2,10};') THEN 'html-like' END], lambda x: x IS NOT NULL), ',')"""
 
-# The same over every word of every document, with all issues and languages.
+# Terms and their owners over every word of every document, with all issues and languages.
 WHOLE_LINES = r"""
 docs AS (SELECT doc_id, text, coalesce(source, 'unsourced') AS source FROM documents),
 files AS (SELECT source AS source_path, row_number() OVER (ORDER BY source) - 1 AS file_seq FROM (SELECT DISTINCT source FROM docs)),
@@ -157,21 +140,34 @@ LANGUAGE = r"""CASE WHEN regexp_matches(term, '[\x{3400}-\x{9fff}\x{f900}-\x{faf
   WHEN regexp_matches(term, '[A-Za-z\x{c0}-\x{24f}]') AND NOT regexp_matches(term, '[^\x00-\x7F\x{c0}-\x{24f}]') THEN 'en' ELSE 'other' END"""
 
 
-def _select(ids) -> str:
-    where = "" if ids is None else f"AND category IN ({', '.join(repr(i) for i in ids)})"
-    return f"WITH lex(term_index, term, category, severity, rank) AS (VALUES {_values(LEXICON)}) SELECT CAST(term_index AS INTEGER) AS term_index, term, category, severity FROM lex WHERE length(term) >= 4 {where}"
+_FILE_CATEGORIES = ", ".join(f"({i}, '{c}', '{v}', {('low', 'medium', 'high').index(v) + 1}, {e})" for i, (c, v, e) in enumerate(FILE_CATEGORIES))
+
+# The lexicon of the benchmark's words: e (term_index, term, form, category, severity, language, needs_review, others).
+WORD_LEXICON = r"""
+lines AS (SELECT item_id AS file_seq, unnest(string_split(replace(text, ' ', chr(10)), chr(10))) AS line, generate_subscripts(string_split(replace(text, ' ', chr(10)), chr(10)), 1) AS line_no FROM benchmark),
+cleaned AS (SELECT file_seq, line_no, trim(line, chr(9) || chr(11) || chr(12) || chr(13)) AS term FROM lines),
+kept AS (SELECT * FROM cleaned WHERE term <> '' AND NOT starts_with(term, '#')),
+known AS (SELECT term, string_split_regex(nullif(issues, ''), ',') AS issues, language FROM (SELECT term, {inspect} AS issues, {language} AS language FROM (SELECT DISTINCT term FROM kept))),
+cats(i, category, severity, rank, enabled) AS (VALUES {categories}),
+per_file AS (SELECT term, file_seq, min(line_no) AS line_no, any_value(category) AS category, any_value(severity) AS severity, any_value(rank) AS rank FROM kept JOIN cats ON i = file_seq % {n} GROUP BY term, file_seq),
+owned AS (SELECT term, arg_max(category, rank * 1000000 - file_seq) AS category, arg_max(severity, rank * 1000000 - file_seq) AS severity, min(file_seq * 1000000 + line_no) AS place, count(*) - 1 AS others FROM per_file GROUP BY term),
+e AS (SELECT CAST(row_number() OVER (ORDER BY place) - 1 AS INTEGER) AS term_index, term, lower(term) AS form, category, severity, language, issues IS NOT NULL AS needs_review, CAST(others AS INTEGER) AS others
+  FROM owned JOIN known USING (term) WHERE NOT list_has_any(coalesce(issues, []), ['control-character', 'punctuation-only', 'too-long']))"""
 
 
-SNAP = (
-    "SELECT 'f' || (doc_id % 50) AS path, list_sort(list_distinct(list(source))) AS terms FROM documents WHERE {where} GROUP BY 1"
-)
+SNAP = "SELECT path, list_sort(list_distinct(list(term))) AS terms FROM ({rows}) GROUP BY 1"
 
 
 def oracle_sql() -> dict[str, str]:
-    whole = WHOLE_LINES.replace("{inspect}", INSPECT.replace("line)", "term)").replace("line,", "term,")).replace("{language}", LANGUAGE)
-    enabled = sorted({c for _, c, _ in LEXICON} - set(DISABLED))
-    batch = """CASE WHEN doc_id % 10 = 0 THEN 'TEXT_REQUIRED' WHEN doc_id % 10 = 1 OR text = '' THEN 'TEXT_EMPTY' WHEN doc_id % 10 = 2 THEN 'TEXT_BLANK'
-      WHEN length(text) > 4000 THEN 'TEXT_TOO_LONG' ELSE 'OK' END"""
+    inspect = INSPECT.replace("line)", "term)").replace("line,", "term,")
+    whole = WHOLE_LINES.replace("{inspect}", inspect).replace("{language}", LANGUAGE)
+    words = "WITH " + WORD_LEXICON.replace("{inspect}", inspect).replace("{language}", LANGUAGE).replace("{categories}", _FILE_CATEGORIES).replace("{n}", str(len(FILE_CATEGORIES)))
+    bad = ", ".join(f"('{i}', {'NULL' if t is None else 'repeat(' + repr('x') + ', 20001)' if len(t) > 99 else 'chr(32) || chr(10)' if t.strip() != t else repr(t)})" for i, t in BAD_ITEMS)
+    items = f"SELECT CAST(doc_id AS VARCHAR) AS id, doc_id, text FROM documents UNION ALL SELECT id, NULL, text FROM (VALUES {bad}) v(id, text)"
+    batch = r"""CASE WHEN text IS NULL THEN 'TEXT_REQUIRED' WHEN text = '' THEN 'TEXT_EMPTY' WHEN NOT regexp_matches(text, '[^ \t\n\x0B\f\r]') THEN 'TEXT_BLANK'
+      WHEN length(text) > 20000 THEN 'TEXT_TOO_LONG' ELSE 'OK' END"""
+    off = ", ".join(f"'{c}'" for c, _, enabled in FILE_CATEGORIES if not enabled)
+    select = "SELECT term_index, term, category, severity FROM e WHERE {where}"
     conversations = _matches(source="SELECT conv_id * 1000 + turn AS id, text FROM conversations")
     return {
         "moderate_documents": _per_doc(
@@ -214,15 +210,19 @@ SELECT d.doc_id, coalesce(j.head || substr(d.text, j.last + 1), d.text) AS maske
 marked AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM wide),
 isles AS (SELECT *, sum(opens) OVER (PARTITION BY id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM marked)
 SELECT id AS doc_id, CAST(min(s) AS INTEGER) AS s, CAST(max(e) AS INTEGER) AS e FROM isles GROUP BY id, g""",
-        "batch_validate": f"SELECT CAST(doc_id AS VARCHAR) AS id, {batch} AS code FROM documents",
-        "batch_summary": f"""{_matches()}, c AS (SELECT doc_id, {batch} AS code FROM documents)
+        "batch_validate": f"SELECT id, {batch} AS code FROM ({items})",
+        "batch_summary": f"""{_matches()}, c AS (SELECT doc_id, {batch} AS code FROM ({items}))
 SELECT count(*) AS total, count(*) FILTER (code = 'OK') AS succeeded, count(*) FILTER (code <> 'OK') AS failed,
   count(*) FILTER (code = 'OK' AND EXISTS (SELECT 1 FROM m WHERE m.id = c.doc_id)) AS matched FROM c""",
-        "pattern_groups": f"""WITH lex(term_index, term, category, severity, rank) AS (VALUES {_values(LEXICON)})
-SELECT lower(term) AS form, count(*) AS terms, CAST(arg_min(term_index, -rank * 1000 + term_index) AS INTEGER) AS picked FROM lex GROUP BY 1""",
-        "automaton_stats": f"""WITH lex(term_index, term, category, severity, rank) AS (VALUES {_values(LEXICON)}), f AS (SELECT DISTINCT lower(term) AS form FROM lex),
-p AS (SELECT DISTINCT left(form, k) AS prefix FROM (SELECT form, unnest(range(1, length(form) + 1)) AS k FROM f))
-SELECT (SELECT count(*) FROM f) AS pattern_count, count(*) + 1 AS node_count, count(*) AS edge_count FROM p""",
+        "batch_default_ids": f"SELECT count(*) AS items, count(*) AS ids, CAST(0 AS BIGINT) AS first, count(*) - 1 AS last, count(*) FILTER ({batch} = 'OK') AS good FROM documents",
+        "traditional_hits": f"""WITH p AS (
+  SELECT doc_id, unnest(string_split(text, w)) AS a, generate_subscripts(string_split(text, w), 1) AS k, len(string_split(text, w)) AS n, term, w
+  FROM (SELECT doc_id, replace(replace(text, 'License', chr(1) || chr(1)), 'license', chr(2) || chr(2)) AS text FROM documents), (VALUES (chr(1) || chr(1), '\u7535\u8bdd'), (chr(2) || chr(2), '\u94f6\u836f')) v(w, term) WHERE contains(text, w)),
+q AS (SELECT *, CAST(sum(length(a) + 2) OVER (PARTITION BY doc_id, term ORDER BY k ROWS UNBOUNDED PRECEDING) AS INTEGER) AS e FROM p)
+SELECT doc_id, term, CAST(e - 2 AS INTEGER) AS s, e, 'normalized' AS match_type FROM q WHERE k < n""",
+        "pattern_groups": f"{words} SELECT form, count(*) AS terms, arg_max(term, CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END * 1000000 - term_index) AS picked FROM e WHERE NOT needs_review AND length(term) >= 2 GROUP BY form",
+        "automaton_stats": f"""{words}, f AS (SELECT DISTINCT form FROM e WHERE NOT needs_review AND length(term) >= 2), p AS (SELECT DISTINCT left(form, k) AS prefix FROM (SELECT form, unnest(range(1, length(form) + 1)) AS k FROM f))
+SELECT (SELECT count(*) FROM f) AS pattern_count, count(*) + 1 AS node_count, count(*) AS edge_count, CAST(0 AS BIGINT) AS skipped_terms FROM p""",
         "detect_language": """WITH w AS (SELECT unnest(string_split(text, ' ')) AS w FROM documents)
 SELECT CASE WHEN regexp_matches(w, '[A-Za-z\u00c0-\u024f]') AND NOT regexp_matches(w, '[^\\x00-\\x7F\u00c0-\u024f]') THEN 'en' ELSE 'other' END AS language, count(*) AS n FROM w WHERE w <> '' GROUP BY 1""",
         "inspect_term": f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS pos FROM documents),
@@ -231,27 +231,28 @@ i AS (SELECT doc_id, pos, CASE WHEN line = '' THEN 'empty' ELSE {INSPECT} END AS
 s AS (SELECT page_id, regexp_replace(lower(regexp_replace(name, '(.)\.[^.]*$', '\1')), '[\s_]+', '-', 'g') AS t FROM b),
 c AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '[^\p{L}\p{N}-]+', '', 'g'), '-{2,}', '-', 'g'), '^-|-$', '', 'g') AS slug FROM s)
 SELECT page_id, CASE WHEN slug = '' THEN 'uncategorized' ELSE slug END AS category FROM c""",
-        "dedupe_attribution": f"WITH {LINES} SELECT term, category, severity, source_path, first_path, files - 1 AS others, needs_review, 'en' AS language FROM terms",
-        "build_report_counters": f"""WITH {LINES} SELECT CAST(sum(lines) AS BIGINT) AS lines, count(*) AS terms, CAST(sum(files - 1) AS BIGINT) AS cross_source, CAST(sum(reassigned) AS BIGINT) AS reassigned,
-count(*) - count(DISTINCT lower(term)) AS collisions, count(*) FILTER (needs_review) AS needs_review FROM terms""",
-        "issue_counts": f"WITH {LINES} SELECT 'single-character' AS issue, count(*) AS n FROM lines WHERE length(term) = 1 HAVING count(*) > 0",
-        "per_category": f"WITH {LINES} SELECT c.category, c.severity, count(t.term) AS n FROM cats c LEFT JOIN terms t USING (category) GROUP BY ALL",
-        "per_source": f"WITH {LINES} SELECT first_path, count(*) AS n FROM terms GROUP BY 1",
-        "dedupe_attribution_whole": f"WITH {whole} SELECT term, category, severity, source_path, first_path, files - 1 AS others, needs_review, language FROM terms",
-        "build_report_counters_whole": f"""WITH {whole} SELECT CAST(sum(lines) AS BIGINT) AS lines, count(*) AS terms, CAST(sum(files - 1) AS BIGINT) AS cross_source, CAST(sum(reassigned) AS BIGINT) AS reassigned,
+        "dedupe_attribution": f"WITH {whole} SELECT term, category, severity, source_path, first_path, files - 1 AS others, needs_review, language FROM terms",
+        "build_report_counters": f"""WITH {whole} SELECT CAST(sum(lines) AS BIGINT) AS lines, count(*) AS terms, CAST(sum(files - 1) AS BIGINT) AS cross_source, CAST(sum(reassigned) AS BIGINT) AS reassigned,
 count(*) - count(DISTINCT replace(lower(term), chr(10), ' ')) AS collisions, count(*) FILTER (needs_review) AS needs_review FROM terms""",
-        "issue_counts_whole": f"WITH {whole} SELECT issue, count(*) AS n FROM (SELECT unnest(issues) AS issue FROM lines JOIN known USING (term)) GROUP BY 1",
-        "per_category_whole": f"WITH {whole} SELECT c.category, c.severity, count(t.term) AS n FROM cats c LEFT JOIN terms t USING (category) GROUP BY ALL",
-        "per_source_whole": f"WITH {whole} SELECT first_path, count(*) AS n FROM terms GROUP BY 1",
-        "snapshot_diff": f"""WITH b AS ({SNAP.format(where="doc_id % 3 <> 0")}), a AS ({SNAP.format(where="doc_id % 3 <> 1 AND doc_id % 50 <> 7")})
+        "issue_counts": f"WITH {whole} SELECT issue, count(*) AS n FROM (SELECT unnest(issues) AS issue FROM lines JOIN known USING (term)) GROUP BY 1",
+        "per_category": f"WITH {whole} SELECT c.category, c.severity, count(t.term) AS n FROM cats c LEFT JOIN terms t USING (category) GROUP BY ALL",
+        "per_source": f"WITH {whole} SELECT first_path, count(*) AS n FROM terms GROUP BY 1",
+        "snapshot_diff": f"""WITH b AS ({SNAP.format(rows="SELECT 'f' || (doc_id % 50) AS path, source AS term FROM documents")}),
+a AS ({SNAP.format(rows="SELECT CASE WHEN turn = 0 THEN 'n' || (conv_id % 5) ELSE 'f' || (conv_id % 40) END AS path, 'src' || turn AS term FROM conversations")})
 SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'added' WHEN a.path IS NULL THEN 'removed' ELSE 'changed' END AS change,
   CAST(len(list_filter(coalesce(a.terms, []), lambda x: NOT list_contains(coalesce(b.terms, []), x))) AS BIGINT) AS added,
   CAST(len(list_filter(coalesce(b.terms, []), lambda x: NOT list_contains(coalesce(a.terms, []), x))) AS BIGINT) AS removed
 FROM b FULL JOIN a ON a.path = b.path WHERE a.terms IS DISTINCT FROM b.terms""",
-        "artifact_round_trip": f"WITH lex(term_index, term, category, severity, rank) AS (VALUES {_values(LEXICON)}) SELECT CAST(term_index AS INTEGER) AS term_index, term, category FROM lex",
+        "artifact_round_trip": f"{words} SELECT term_index, category || ':' || term_index AS id, term, form AS normalized, language, category, severity, needs_review, others FROM e",
+        "artifact_validation": f"""{words}, n AS (SELECT count(*) AS n, count(*) FILTER (category = (SELECT max(category) FROM e)) AS last FROM e)
+SELECT 'error' AS level, unnest(['termCount is ' || n || ' but the artifact contains ' || 2 * n || ' terms', 'column "categoryIndex" has ' || n || ' values but there are ' || 2 * n || ' terms',
+  'column "severityIndex" has ' || n || ' values but there are ' || 2 * n || ' terms', 'column "languageIndex" has ' || n || ' values but there are ' || 2 * n || ' terms',
+  'column "flags" has ' || (n + 1) || ' values but there are ' || 2 * n || ' terms', n || ' duplicated term(s) in the artifact', (n + last) || ' term(s) reference an unknown category index']) AS message FROM n""",
+        "lexicon_categories": f"""{words} SELECT c.category AS id, c.severity, count(e.term) FILTER (enabled AND NOT needs_review AND length(term) >= 2) AS term_count, any_value(enabled) AS default_enabled
+FROM cats c LEFT JOIN e USING (category) GROUP BY c.category, c.severity""",
         "category_by_source_rollup": _matches() + " SELECT d.source, category, count(*) AS hits, count(DISTINCT m.id) AS docs FROM m JOIN documents d ON d.doc_id = m.id GROUP BY ALL",
         "toxic_label_confusion": f"{_matches()}, r AS (SELECT d.doc_id, {DECIDE} AS decision FROM documents d LEFT JOIN m ON m.id = d.doc_id GROUP BY d.doc_id) SELECT toxic, decision, count(*) AS n FROM r JOIN labels USING (doc_id) GROUP BY ALL",
-        "lexicon_select_default": _select(enabled),
-        "lexicon_select_all": _select(None),
-        "lexicon_select_explicit": _select(("common-en", "url")),
+        "lexicon_select_default": f"{words} {select.format(where=f'category NOT IN ({off}) AND NOT needs_review AND length(term) >= 4')}",
+        "lexicon_select_all": f"{words} {select.format(where='true')}",
+        "lexicon_select_explicit": f"""{words} {select.format(where="category IN ('beta', 'gamma') AND NOT needs_review AND length(term) >= 4")}""",
     }

@@ -6,7 +6,9 @@ normalized and fuzzy queries disguise it first, with the same replacements in Sp
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,16 +17,19 @@ from termsieve.config import MatcherOptions, Policy, ScanOptions
 from termsieve.functions import text as T
 from termsieve.operators import verdict
 from termsieve.operators.scan import fold_column, normalize_column
-from termsieve.plans.build import attribute, count_issues, diff_snapshots
+from termsieve.plans.build import CONFIG, attribute, build_lexicon, count_issues, diff_snapshots, to_artifact, validate_artifact
 from termsieve.plans.moderator import Moderator, ModeratorOptions, batch_error, moderator_from_terms
-from termsieve.sources.terms import CATEGORY, Lexicon, select_categories
+from termsieve.sources.terms import lexicon_from_artifact
 
 LEXICON = [
     ("license", "compliance", "low"), ("mit license", "compliance", "medium"), ("example.com", "url", "medium"), ("with", "common-en", "low"),
     ("from", "common-en", "low"), ("this", "common-en", "medium"), ("der", "common-de", "low"), ("die", "common-de", "high"), ("les", "common-fr", "low"),
     ("With", "shadow", "high"), ("LES", "shadow", "low"),
 ]
-DISABLED = ("common-en",)
+# What the batch queries put beside the documents: items that fail.
+BAD_ITEMS = [("null", None), ("empty", ""), ("blank", " \n"), ("long", "x" * 20_001)]
+# How the benchmark's passages are taken for term files: by item_id, four categories, of which one is off by default.
+FILE_CATEGORIES = [("alpha", "low", True), ("beta", "medium", True), ("gamma", "high", False), ("delta", "low", True)]
 MAIN = LEXICON[:9]
 
 
@@ -182,40 +187,97 @@ def merge_ranges(spark, d):
 
 
 def _items(spark, d):
-    text = F.when(F.col("doc_id") % 10 == 0, F.lit(None)).when(F.col("doc_id") % 10 == 1, F.lit("")).when(F.col("doc_id") % 10 == 2, F.lit(" \n")).otherwise(F.col("text"))
-    return _docs(spark, d).select(F.col("doc_id").cast("string").alias("id"), text.alias("text"))
+    return _docs(spark, d).select(F.col("doc_id").cast("string").alias("id"), "text").unionAll(spark.createDataFrame(BAD_ITEMS, "id string, text string"))
 
 
 def batch_validate(spark, d):
-    code = batch_error(F.col("text"), F.col("text").isNull(), F.lit(True), 4000)
+    code = batch_error(F.col("text"), F.col("text").isNull(), F.lit(True), 20_000)
     return _items(spark, d).select("id", F.coalesce(code, F.lit("OK")).alias("code"))
 
 
 def batch_summary(spark, d):
-    return _moderator(spark).check_batch(_items(spark, d), max_text_length=4000)[1]
+    return _moderator(spark).check_batch(_items(spark, d), max_text_length=20_000)[1]
 
 
-def lexicon_select(requested: list[str]) -> Callable:
+def batch_default_ids(spark, d):
+    """Items without ids are numbered by their places."""
+    items = _docs(spark, d).select(F.lit(None).cast("string").alias("id"), "text")
+    results = _moderator(spark).check_batch(items, max_text_length=20_000)[0]
+    at = F.col("id").cast("long")
+    return results.agg(F.count("*").alias("items"), F.count_distinct("id").alias("ids"), F.min(at).alias("first"), F.max(at).alias("last"), F.count_if("success").alias("good"))
+
+
+# -- a lexicon built from the benchmark's words -----------------------------------------------
+
+
+def _word_files(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The benchmark's passages as term files of a word a line, and the categories they are in."""
+    items = _read(spark, d, "benchmark")
+    path = F.format_string("f%06d.txt", F.col("item_id"))
+    body = F.concat(F.lit("# words\n"), F.replace("text", F.lit(" "), F.lit("\n")))
+    files = items.select(F.col("item_id").cast("int").alias("file_seq"), path.alias("source_path"), F.encode(body, "utf-8").alias("content"), F.sha2(F.encode(body, "utf-8"), 256).alias("sha256"))
+    at = (F.col("item_id") % len(FILE_CATEGORIES)).cast("int") + 1
+    pick = lambda k: F.element_at(F.array(*[F.lit(c[k]) for c in FILE_CATEGORIES]), at)
+    none = F.lit(None).cast("string")
+    config = items.select(path.alias("source_path"), pick(0).alias("category"), none.alias("display_name"), pick(1).alias("severity"), pick(2).alias("default_enabled"), none.alias("description"))
+    return files, config
+
+
+def _word_artifact(spark, d) -> dict:
+    files, config = _word_files(spark, d)
+    built = build_lexicon(spark, files, config, version="1", now=datetime(2026, 1, 1, tzinfo=UTC))
+    return json.loads(json.dumps(to_artifact(built)))
+
+
+def artifact_round_trip(spark, d):
+    """Built, written as an artifact, read from it, with the terms that need review and those of one character."""
+    entries = lexicon_from_artifact(spark, _word_artifact(spark, d), ["*"], include_needs_review=True, min_term_length=1).entries
+    return entries.select("term_index", "id", "term", "normalized", "language", "category", "severity", "needs_review", F.size(F.coalesce("also_found_in", F.array())).alias("others"))
+
+
+def artifact_validation(spark, d):
+    """What is wrong with an artifact whose terms are there twice and whose first category is left out."""
+    art = _word_artifact(spark, d)
+    bad = art | {"terms": art["terms"] + "\n" + art["terms"], "categories": art["categories"][1:], "flags": art["flags"] + ",0"}
+    return validate_artifact(spark, bad)
+
+
+def lexicon_select(requested: list[str] | None, review: bool = False, least: int = 4) -> Callable:
     def query(spark, d):
-        ids = sorted({c for _, c, _ in LEXICON})
-        chosen = select_categories(requested, [{"id": c, "defaultEnabled": c not in DISABLED} for c in ids])
-        lex = Lexicon.from_terms(spark, LEXICON).entries
-        kept = lex if chosen is None else lex.where(F.col("category").isin(*sorted(chosen)))
-        return kept.where(F.length("term") >= 4).select("term_index", "term", "category", "severity")
+        lexicon = lexicon_from_artifact(spark, _word_artifact(spark, d), requested, review, least)
+        return lexicon.entries.select("term_index", "term", "category", "severity")
 
     return query
 
 
+def lexicon_categories(spark, d):
+    """The categories' metadata after loading the default selection."""
+    lexicon = lexicon_from_artifact(spark, _word_artifact(spark, d))
+    return lexicon.categories.select("id", "severity", "term_count", "default_enabled")
+
+
+def _word_moderator(spark, d) -> Moderator:
+    return Moderator(spark, lexicon_from_artifact(spark, _word_artifact(spark, d), ["*"]))
+
+
 def pattern_groups(spark, d):
-    lex = Lexicon.from_terms(spark, LEXICON).entries
-    order = F.array_sort(F.collect_list(F.struct((-T.severity_rank(F.col("severity"))).alias("r"), "term_index")))
-    return lex.select(normalize_column(F.col("term")).alias("form"), "severity", "term_index").groupBy("form").agg(
-        F.count("*").alias("terms"), order[0]["term_index"].alias("picked")
-    )
+    """The forms that the matcher of all words looks for, and the term that each stands for."""
+    m = _word_moderator(spark, d).matcher
+    c = m.compile("normalized")
+    rows = [(form, len(members), m.terms[members[0]].term) for form, (_, _, _, members) in zip(c.keys, c.patterns, strict=True)]
+    return spark.createDataFrame(rows, "form string, terms long, picked string")
 
 
 def automaton_stats(spark, d):
-    return _moderator(spark, LEXICON).stats().select("pattern_count", "node_count", "edge_count")
+    return _word_moderator(spark, d).stats().select("pattern_count", "node_count", "edge_count", "skipped_terms")
+
+
+def traditional_hits(spark, d):
+    """Simplified terms in documents with traditional spellings put in."""
+    odd = F.replace(F.replace(F.col("text"), F.lit("License"), F.lit("\u96fb\u8a71")), F.lit("license"), F.lit("\u9280\u85e5"))
+    m = _moderator(spark, [("\u7535\u8bdd", "cn", "low"), ("\u94f6\u836f", "cn", "high")])
+    out = m.find_all(_docs(spark, d).select("doc_id", odd.alias("text")))
+    return out.select("doc_id", "term", F.col("start").alias("s"), F.col("end").alias("e"), "match_type")
 
 
 def detect_language(spark, d):
@@ -233,71 +295,53 @@ def derive_category_id(spark, d):
     return _read(spark, d, "pages").select("page_id", T.derive_category_id(F.col("url")).alias("category"))
 
 
-def _term_lines(spark, d, whole: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Sources as files, their documents' words as lines; short words of letters only unless the whole texts are asked for."""
-    docs = _read(spark, d, "documents")
-    docs = docs.withColumn("source", F.coalesce("source", F.lit("unsourced"))) if whole else docs.where("source is not null")
-    files = docs.select(F.col("source").alias("source_path")).distinct()
-    files = files.withColumn("file_seq", F.row_number().over(Window.orderBy("source_path")) - 1)
-    words = docs.select(F.col("source").alias("source_path"), "doc_id", F.posexplode(F.split("text", " ")).alias("at", "w"))
-    lines = words.where("w <> ''" if whole else "length(w) between 1 and 12 and w rlike '^[A-Za-z]+$'").select("source_path", (F.col("doc_id") * 100000 + F.col("at")).alias("line_no"), F.col("w").alias("term"))
-    return lines.join(files, "source_path"), files
-
-
-def _attributed(spark, d, whole: bool = False) -> dict[str, DataFrame]:
-    lines, files = _term_lines(spark, d, whole)
+def _attributed(spark, d) -> dict[str, DataFrame]:
+    """Sources as files, every word of their documents as a line."""
+    docs = _read(spark, d, "documents").withColumn("source_path", F.coalesce("source", F.lit("unsourced")))
+    paths = docs.select("source_path").distinct()
+    files = paths.withColumn("file_seq", F.row_number().over(Window.orderBy("source_path")) - 1)
+    named = docs.select("source_path", "doc_id", "text").join(files, "source_path")
+    words = named.select("source_path", "file_seq", "doc_id", F.posexplode(F.split("text", " ")).alias("at", "term")).where("term <> ''")
+    lines = words.select("source_path", "file_seq", (F.col("doc_id") * 100000 + F.col("at")).alias("line_no"), "term")
     rows = [(f"src{i}", f"c{i % 7}", None, ("low", "medium", "high")[i % 3], None, None) for i in range(20)]
-    config = spark.createDataFrame(rows, "source_path string, category string, display_name string, severity string, default_enabled boolean, description string")
-    return attribute(lines, files, config)
+    return attribute(lines, files, spark.createDataFrame(rows, CONFIG))
 
 
-def dedupe_attribution(spark, d, whole=False):
-    t = _attributed(spark, d, whole)["terms"]
-    return t.select("term", "category", "severity", "source_path", "first_path", F.size("also_found_in").cast("long").alias("others"), "needs_review", "language")
+def dedupe_attribution(spark, d):
+    t = _attributed(spark, d)["terms"]
+    return t.select("term", "category", "severity", "source_path", "first_path", (F.col("files") - 1).alias("others"), "needs_review", "language")
 
 
-def build_report_counters(spark, d, whole=False):
-    a = _attributed(spark, d, whole)
-    return a["terms"].agg(
+def build_report_counters(spark, d):
+    return _attributed(spark, d)["terms"].agg(
         F.sum("lines").alias("lines"), F.count("*").alias("terms"), F.sum(F.col("files") - 1).alias("cross_source"), F.sum("reassigned").alias("reassigned"),
         (F.count("*") - F.count_distinct("normalized")).alias("collisions"), F.count_if("needs_review").alias("needs_review"),
     )
 
 
-def issue_counts(spark, d, whole=False):
-    return count_issues(_attributed(spark, d, whole)["odd"])
+def issue_counts(spark, d):
+    return count_issues(_attributed(spark, d)["odd"])
 
 
-def per_category(spark, d, whole=False):
-    a = _attributed(spark, d, whole)
+def per_category(spark, d):
+    a = _attributed(spark, d)
     counts = a["terms"].groupBy("category").agg(F.count("*").alias("n"))
     return a["categories"].select(F.col("id").alias("category"), "severity").join(counts, "category", "left").select("category", "severity", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def per_source(spark, d, whole=False):
-    return _attributed(spark, d, whole)["terms"].groupBy("first_path").agg(F.count("*").alias("n"))
-
-
-def over_whole_texts(query: Callable) -> Callable:
-    """A query of the lexicon build over every word of every document."""
-    return lambda spark, d: query(spark, d, whole=True)
+def per_source(spark, d):
+    return _attributed(spark, d)["terms"].groupBy("first_path").agg(F.count("*").alias("n"))
 
 
 def snapshot_diff(spark, d):
-    docs = _read(spark, d, "documents")
-    snap = lambda half: docs.where(half).groupBy(F.concat(F.lit("f"), (F.col("doc_id") % 50).cast("string")).alias("path")).agg(
-        F.array_sort(F.collect_set("source")).alias("terms")
-    ).select("path", F.sha2(F.array_join("terms", ","), 256).alias("sha256"), "terms")
-    return diff_snapshots(snap("doc_id % 3 <> 0"), snap("doc_id % 3 <> 1 and doc_id % 50 <> 7"))["files"]
-
-
-def artifact_round_trip(spark, d):
-    lex = Lexicon.from_terms(spark, LEXICON).entries
-    row = lex.agg(F.array_sort(F.collect_list(F.struct("term_index", "term", "category"))).alias("r")).select(
-        F.array_join(F.col("r.term"), "\n").alias("terms"), F.array_join(F.col("r.category"), ",").alias("cats")
+    """Documents as the files of one snapshot, conversations as those of the next."""
+    snap = lambda rows: rows.groupBy("path").agg(F.array_sort(F.collect_set("term")).alias("terms")).select(
+        "path", F.sha2(F.array_join("terms", ","), 256).alias("sha256"), "terms"
     )
-    back = row.select(F.posexplode(F.arrays_zip(F.split("terms", "\n").alias("term"), F.split("cats", ",").alias("category"))).alias("term_index", "z"))
-    return back.select("term_index", "z.term", "z.category")
+    name = lambda key, n: F.concat(F.lit("f"), (F.col(key) % n).cast("string"))
+    before = _read(spark, d, "documents").select(name("doc_id", 50).alias("path"), F.col("source").alias("term"))
+    after = _read(spark, d, "conversations").select(F.when(F.col("turn") == 0, F.concat(F.lit("n"), F.col("conv_id") % 5)).otherwise(name("conv_id", 40)).alias("path"), F.concat(F.lit("src"), "turn").alias("term"))
+    return diff_snapshots(snap(before), snap(after))["files"]
 
 
 def category_by_source_rollup(spark, d):
@@ -313,12 +357,11 @@ def toxic_label_confusion(spark, d):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = (
         moderate_documents, find_all_exact, find_all_normalized, find_all_overlap_all, find_all_without_boundaries, same_form_terms, category_filtered_hits, allowlist_hits,
-        max_matches_decision, find_first, contains, unique_terms, disguised_hits, match_type_labels, fuzzy_separator_hits, fuzzy_leet_hits, normalize_text, fuzzy_fold_text,
-        moderate_conversations, moderate_pages, risk_level, decision_policy_variants, mask_documents, merge_ranges, batch_validate, batch_summary, pattern_groups, automaton_stats,
-        detect_language, inspect_term, derive_category_id, dedupe_attribution, build_report_counters, issue_counts, per_category, per_source, snapshot_diff, artifact_round_trip,
-        category_by_source_rollup, toxic_label_confusion,
+        max_matches_decision, find_first, contains, unique_terms, disguised_hits, traditional_hits, match_type_labels, fuzzy_separator_hits, fuzzy_leet_hits, normalize_text, fuzzy_fold_text,
+        moderate_conversations, moderate_pages, risk_level, decision_policy_variants, mask_documents, merge_ranges, batch_validate, batch_summary, batch_default_ids, pattern_groups,
+        automaton_stats, detect_language, inspect_term, derive_category_id, dedupe_attribution, build_report_counters, issue_counts, per_category, per_source, snapshot_diff,
+        artifact_round_trip, artifact_validation, lexicon_categories, category_by_source_rollup, toxic_label_confusion,
     )
-    builds = (dedupe_attribution, build_report_counters, issue_counts, per_category, per_source)
-    return {f.__name__: f for f in plain} | {f"{f.__name__}_whole": over_whole_texts(f) for f in builds} | {
-        "lexicon_select_default": lexicon_select(["all"]), "lexicon_select_all": lexicon_select(["*"]), "lexicon_select_explicit": lexicon_select(["common-en", "url"]),
+    return {f.__name__: f for f in plain} | {
+        "lexicon_select_default": lexicon_select(None), "lexicon_select_all": lexicon_select(["*"], review=True, least=1), "lexicon_select_explicit": lexicon_select(["beta", "gamma"]),
     }
