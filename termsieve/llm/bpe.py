@@ -8,7 +8,8 @@ in the word. Longest matches come from an Aho-Corasick automaton over the vocabu
 copies byte ranges of one blob through an offset table.
 
 White space always separates words here, so a text is cut at white space first and the encodings
-of the pieces are kept in a bounded table for each worker.
+of the pieces are kept in a bounded table for each worker: what wasn't asked for while the table
+filled up once is forgotten.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _END = 0x10000  # added to the last symbol of a word
-PIECES = 400_000
+PIECES = 100_000
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
@@ -129,6 +130,7 @@ class Encoder:
         self.bytes_of = _byte_symbols()
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         # Up to U+02FF the letters are settled; beyond, the file's own normalizer and pattern are
         # applied, as Unicode versions differ there.
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
@@ -247,15 +249,17 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian 32-bit integers."""
-        pieces = self.pieces
-        if len(pieces) > PIECES or len(self.words) > PIECES or len(self.compatible) > 2 * PIECES:
-            pieces.clear()
+        if len(self.pieces) > PIECES:
+            self.older, self.pieces = self.pieces, {}
+        if len(self.words) > PIECES:
             self.words.clear()
+        if len(self.compatible) > 2 * PIECES:
             self.compatible.clear()
+        pieces, older = self.pieces, self.older
         parts = text.split() if text.isascii() and not _has_separators(text) else self.cut(text)
         new = set(parts).difference(pieces)
         for p in new:
-            pieces[p] = self._piece(p)
+            pieces[p] = older.get(p) or self._piece(p)
         out = b"".join([pieces[p] for p in parts])
         for p in new:
             if len(p) > 200:
@@ -331,6 +335,8 @@ def encode_texts(
                     cols += [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(flat)), pa.array(dec, pa.string())]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(cols, names)
+        # Workers live on after a task: what Arrow keeps for later goes back.
+        pa.default_memory_pool().release_unused()
 
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
     out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
