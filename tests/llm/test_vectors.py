@@ -2,7 +2,7 @@ import tracemalloc
 
 import numpy as np
 
-from termsieve.llm.ann import AnnOptions, nearest
+from termsieve.llm.ann import AnnOptions, buckets, cells_of, extended, nearest, visited
 from termsieve.llm.embed_dedup import EmbeddingOptions, embedding_duplicates, linked, possible_pairs, quantise
 
 SCHEMA = "vec_id long, embedding array<float>, label int, score string"
@@ -119,3 +119,40 @@ def test_no_query_comes_short_with_the_default_options(spark):
             assert sorted(k for k, _ in got[d * 1000 + i]) == list(range(1, want + 1)) and len({v for _, v in got[d * 1000 + i]}) == want
     few = frame(spark, [(0, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [-1.0, 0.0], 0)])
     assert [(r.rank, r.vec_id, r.score) for r in nearest(few, few.where("vec_id = 0")).orderBy("rank").collect()] == [(1, 1, 1.0), (2, 2, -1.0)]
+
+
+def test_buckets_hold_bounded_numbers_of_rows():
+    rng = np.random.default_rng(9)
+    rows = rng.integers(1, 900, 300)
+    first, splits = buckets(np.arange(300), rows, 256)
+    held: dict[int, float] = {}
+    for n, a, k in zip(rows, first, splits, strict=True):
+        for b in range(a, a + k):
+            held[b] = held.get(b, 0) + n / k
+    assert max(held.values()) <= 256 and sorted(held) == list(range(len(held)))
+    # Cells that share a bucket are small, a split cell shares none.
+    assert all((first == a).sum() == 1 for a, k in zip(first, splits, strict=True) if k > 1)
+
+
+def test_cells_and_visits():
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(3000, 12))
+    o = AnnOptions()
+    ext = extended(x, np.linalg.norm(x, axis=1).max())
+    for t in range(o.tables):
+        cells, n = np.unique(cells_of(ext, o, t), return_counts=True)
+        q = np.c_[x[:50] / np.linalg.norm(x[:50], axis=1)[:, None], np.zeros(50)]
+        see = visited(q, cells, n, o, t)
+        assert (see @ n > o.k).all() and 0 < see.mean() < 1
+        assert see.sum() <= visited(q, cells, n, AnnOptions(share=0.99), t).sum()
+
+
+def test_the_same_rows_in_small_buckets_and_blocks(spark):
+    """A hot cell of copies, cells dealt over many buckets, queries in chunks: nothing is lost, cells decide alone."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(700, 8))
+    x[200:500] = x[200]
+    df = frame(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)])
+    rows = lambda o: sorted((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in nearest(df, df.where("vec_id % 7 = 0"), o).collect())
+    few = rows(AnnOptions(bucket_rows=(16, 16), query_rows=8, block=512))
+    assert few == rows(AnnOptions()) and len(few) == 100 * 20
