@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from termsieve.functions import text as T
 from termsieve.functions.arrays import cut, parts, running
-from termsieve.functions.columns import fresh
+from termsieve.functions.columns import aside, fresh
 
 
 def merged(ranges):
@@ -53,3 +53,11 @@ def test_cutting_and_running(spark):
 def test_fresh_names(spark):
     df = spark.range(1).selectExpr("id", "id as _Key", "id as __key")
     assert fresh(df, "key") == "___key" and fresh(df, "other") == "_other"
+
+
+def test_columns_put_aside(spark):
+    df = spark.range(1).selectExpr("id", "1 as Score", "2 as `a.b`", "3 as _own_score")
+    inside, back = aside(df, ["score", "more"])
+    assert inside.columns == ["id", "__own_Score", "a.b", "_own_score"]
+    out = back(inside.withColumn("score", F.lit(9)))
+    assert out.columns == df.columns and tuple(out.first()) == (0, 1, 2, 3)
