@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termsieve.functions.columns import aside
 from termsieve.llm.bpe import encode_texts
 from termsieve.llm.langid import fit, predict
 from termsieve.llm.minhash import MinHashOptions, keep_one
 from termsieve.llm.mixing import mixed
-from termsieve.llm.pii import find_pii, redact
+from termsieve.llm.pii import KINDS, find_pii, redact
 from termsieve.llm.queries import vocabulary_path
 from termsieve.llm.scratch import Scratch
 
@@ -20,8 +21,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The model is fitted on a bounded sample of all of docs with a known lang, those included that op10
     keeps for testing: nothing is measured here. Repeated rows and rows with null ids are told one by one.
     """
-    told = predict(docs, fit(docs))
-    return told.where(~F.col("rejected")).select(*docs.columns)
+    inside, back = aside(docs, ("lang_pred", "score", "rejected"))
+    return back(predict(inside, fit(docs)).where(~F.col("rejected")))
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +36,8 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by its kind; n_chars follows. Null texts stay null, every row stays."""
-    clean = redact(find_pii(docs))
-    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    inside, back = aside(docs, (*KINDS, "added"))
+    return back(redact(find_pii(inside)).withColumn("n_chars", F.length("text").cast("long")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
