@@ -18,8 +18,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termsieve.functions.columns import fresh
-
 from .shingles import text_chunks
 
 _U = np.uint32
@@ -188,10 +186,12 @@ def predict(docs: DataFrame, model: LangModel, options: LangOptions | None = Non
     """
     o = options or LangOptions()
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
-    letters = fresh(docs, "letters")
-    inside = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn(letters, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    # Columns go by their places inside, as not every name can be called there.
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)])
+    text = f"c{kept.index(text_col)}"
+    inside = plain.withColumn("letters", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
     tables = docs.sparkSession.sparkContext.broadcast(model)
-    at = inside.columns.index(text_col)
+    at = inside.columns.index(text)
 
     def run(batches):
         m = tables.value
@@ -219,8 +219,8 @@ def predict(docs: DataFrame, model: LangModel, options: LangOptions | None = Non
                 [*batch.schema.names[:-1], "lang_pred", "score", "rejected"],
             )
 
-    schema = inside.drop(letters).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
-    return inside.mapInArrow(run, schema)
+    schema = plain.schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
+    return inside.mapInArrow(run, schema).toDF(*kept, "lang_pred", "score", "rejected")
 
 
 def held_out(id_col: str = "doc_id"):

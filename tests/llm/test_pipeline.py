@@ -45,6 +45,22 @@ def test_last_stage_tells_the_decoded_text(spark):
     assert {r.doc_id: r.decoded_sha256 for r in out} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}
 
 
+def test_stages_keep_clashing_columns_and_long_texts(spark):
+    names = ["score", "email", "_key", "_hash", "added", "REJECTED", "a.b", "copies"]
+    long = "the house of the long road and the river " * 30_000 + "mail a.b@c.org now"
+    rows = [(i, f"the house number {w} of the road and the river is not far from the {w} bridge", "en", f"s{i % 2}", 1) for i, w in enumerate(["red", "old", "new", "long", "wide", "grey"] * 3)]
+    rows += [(100, long, "en", "s0", 1), (101, None, None, None, None), (102, "", "en", "s1", 0), (None, "the house without a name and the old river", "en", "s1", 1)]
+    docs = spark.createDataFrame([(*r, *(f"{c}{i}" for c in names)) for i, r in enumerate(rows)], ["doc_id", "text", "lang", "source", "n_chars", *names])
+    own = {r.doc_id: tuple(r[c] for c in names) for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        kept = out.collect()
+        assert out.columns == docs.columns and all(tuple(r[c] for c in names) == own[r.doc_id] for r in kept), name
+        docs = spark.createDataFrame(kept, docs.schema)
+    assert any(r.doc_id == 100 and r.text.endswith("[EMAIL] now") for r in kept)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == len(kept)
+
+
 def test_run_and_empty_input(spark):
     assert corpus_pipeline.run(spark, SF).count() > 200
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
