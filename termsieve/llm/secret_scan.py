@@ -30,13 +30,15 @@ DIGITS = UPPER + LOWER + "0123456789+/-_="
 class SecretOptions:
     """min_length: of tokens tested; battery: least two-sided p of each test; fdr: false-discovery rate.
 
-    text_collision: the chance that two characters of written text agree.
+    text_collision: the chance that two characters of written text agree, and text_excess: by how much at least it
+    is above that of random ones, in parts of the latter, whatever the alphabet.
     """
 
     min_length: int = 20
     battery: float = 0.002
     fdr: float = 0.01
     text_collision: float = 0.066
+    text_excess: float = 1.0
 
 
 def _statistics(token: Column, o: SecretOptions) -> Column:
@@ -101,7 +103,7 @@ def _p_values(t: Column, z: Column, o: SecretOptions) -> Column:
     two_sided = lambda v: 2 * normal_cdf(-F.abs(v))
     # Too even a spread of characters is not held against a token.
     p_least = F.least(two_sided(F.greatest(z["even"], F.lit(0.0))), two_sided(z["runs"]), two_sided(z["serial"]))
-    off = F.greatest(k * o.text_collision - 1, F.lit(0.3)) * n
+    off = F.greatest(k * o.text_collision - 1, F.lit(o.text_excess)) * n
     p_text = normal_cdf((z["chi"] - (k - 1 + off)) / F.sqrt(2 * (k - 1) + 4 * off))
     return F.struct(n.alias("n"), p_text.alias("p_text"), p_least.alias("p_least"))
 
