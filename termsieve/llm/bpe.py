@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .workers import hold, small_batches
+
 _END = 0x10000  # added to the last symbol of a word
 PIECES = 100_000
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -293,9 +295,6 @@ def _has_separators(text: str) -> bool:
     return any(c in text for c in "\x1c\x1d\x1e\x1f")
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encode_texts(
     docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, decode: bool = True
 ) -> DataFrame:
@@ -306,14 +305,12 @@ def encode_texts(
     table gives an empty result. with_ids=False leaves out ids and decoded, decode=False the text.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     tables = spark.sparkContext.broadcast(load_vocabulary(vocabulary_path))
     name = uuid.uuid4().hex
 
     def run(batches):
-        if name not in _encoders:
-            _encoders.clear()
-            _encoders[name] = Encoder(tables.value)
-        enc = _encoders[name]
+        enc = hold(name, lambda: Encoder(tables.value))
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
@@ -335,8 +332,6 @@ def encode_texts(
                     cols += [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(flat)), pa.array(dec, pa.string())]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(cols, names)
-        # Workers live on after a task: what Arrow keeps for later goes back.
-        pa.default_memory_pool().release_unused()
 
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
     out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shingles import text_chunks
+from .workers import let_go, small_batches
 
 _U = np.uint32
 
@@ -190,10 +191,12 @@ def predict(docs: DataFrame, model: LangModel, options: LangOptions | None = Non
     plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)])
     text = f"c{kept.index(text_col)}"
     inside = plain.withColumn("letters", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+    small_batches(docs.sparkSession)
     tables = docs.sparkSession.sparkContext.broadcast(model)
     at = inside.columns.index(text)
 
     def run(batches):
+        let_go()
         m = tables.value
         names = np.array([*m.languages, "und"])
         for batch in batches:

@@ -24,6 +24,7 @@ from .graph import connected_components
 from .joins import dealt_join, hot_keys
 from .scratch import Scratch
 from .shingles import mix, shingle_sets
+from .workers import let_go, small_batches
 
 _U = np.uint64
 SALTS = 32
@@ -88,6 +89,7 @@ def band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def _sketcher(o: MinHashOptions):
     def run(batches):
+        let_go()
         for batch in batches:
             n, a, b, keys, counts = [], [], [], [], [0]
             for h in shingle_sets(batch.column("text"), o.width):
@@ -115,6 +117,7 @@ def _sketcher(o: MinHashOptions):
 
 def _set_maker(width: int):
     def run(batches):
+        let_go()
         for batch in batches:
             sets = list(shingle_sets(batch.column("text"), width))
             counts = np.cumsum([0, *map(len, sets)])
@@ -171,6 +174,7 @@ def near_duplicates(docs: DataFrame, options: MinHashOptions | None = None, id_c
     """
     o = options or MinHashOptions()
     spark = docs.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "minhash")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketches = scratch.keep(
