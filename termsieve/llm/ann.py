@@ -139,7 +139,7 @@ def _prober(o: AnnOptions, tables: dict):
                     continue
                 q = _vectors(part["embedding"])
                 ext = np.c_[q / np.sqrt(np.einsum("ij,ij->i", q, q))[:, None], np.zeros(len(q))]
-                ids = part["vec_id"].to_numpy()
+                ids, own = part["vec_id"].to_numpy(), part["embedding"].to_numpy()
                 for t in range(o.tables):
                     cells, rows, first, splits = tables[dim, t]
                     step = max(1, o.block // len(cells))
@@ -155,7 +155,7 @@ def _prober(o: AnnOptions, tables: dict):
                         lists = np.split(cells[of], new[1:])
                         picked = s + who[new]
                         yield pd.DataFrame(
-                            {"q_dim": dim, "q_table": t, "q_bucket": bucket[new], "query_id": ids[picked], "query": [q[p].tolist() for p in picked], "look": lists}
+                            {"q_dim": dim, "q_table": t, "q_bucket": bucket[new], "query_id": ids[picked], "query": own[picked], "look": lists}
                         )
 
     return run
@@ -222,13 +222,14 @@ def nearest(
     if not 1 <= o.directions <= 5:
         raise ValueError("between 1 and 5 directions can be told apart")
     scratch = Scratch(vectors.sparkSession, "nearest")
-    part = lambda df: df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding")).where(
+    part = lambda df: df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding")).where(
         usable(F.col("embedding")) & F.col("vec_id").isNotNull()
     ).dropDuplicates().withColumn("dim", F.size("embedding"))
     rows, asked = scratch.keep(part(vectors), "rows"), part(queries)
-    square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
+    square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    kind = rows.schema["embedding"].dataType.simpleString()
     stats = rows.groupBy("dim").agg(F.count("*").alias("n"), F.sqrt(F.max(square)).alias("longest")).collect()
-    hashed = rows.mapInPandas(_hasher(o, {s["dim"]: s["longest"] for s in stats}), "vec_id long, embedding array<double>, dim int, cells array<long>")
+    hashed = rows.mapInPandas(_hasher(o, {s["dim"]: s["longest"] for s in stats}), f"vec_id long, embedding {kind}, dim int, cells array<long>")
     hashed = scratch.keep(hashed, "hashed").select("dim", "vec_id", "embedding", F.posexplode("cells").alias("table", "cell"))
     counted = sorted(map(tuple, hashed.groupBy("dim", "table", "cell").count().collect()))
     most = {s["dim"]: max(o.bucket_rows[0], min(o.bucket_rows[1], math.ceil(s["n"] / 12))) for s in stats}
@@ -240,7 +241,8 @@ def nearest(
         places += [(dim, table, int(c), int(f), int(n)) for c, f, n in zip(cells, first, splits, strict=True)]
     spread = vectors.sparkSession.createDataFrame(places, "dim int, table int, cell long, first long, splits long")
     right = hashed.join(F.broadcast(spread), ["dim", "table", "cell"]).withColumn("bucket", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("splits")))
-    visits = asked.mapInPandas(_prober(o, tables), "q_dim int, q_table int, q_bucket long, query_id long, query array<double>, look array<long>")
+    kind = asked.schema["embedding"].dataType.simpleString()
+    visits = asked.mapInPandas(_prober(o, tables), f"q_dim int, q_table int, q_bucket long, query_id long, query {kind}, look array<long>")
     visits = scratch.keep(visits, "visits")
     # A bucket that many queries visit is copied for every query_rows of them.
     asking = visits.groupBy("q_dim", "q_table", "q_bucket").agg(F.ceil(F.count("*") / o.query_rows).cast("int").alias("chunks"))
