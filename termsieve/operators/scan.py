@@ -125,7 +125,8 @@ def scan_and_mask_column(shipped: Shipped, text: Column, call: ScanCall, char: s
     return scan(text)
 
 
-def normalize_column(text: Column, options: NormalizeOptions | None = None) -> Column:
+def normalize_column(text: Column, options: NormalizeOptions | None = None, pinned: bool = False) -> Column:
+    """The normal form. Pinned, it is worked out where it stands: filters on it aren't moved below aggregates, to more rows."""
     o = options or NormalizeOptions()
 
     @F.arrow_udf("string")
@@ -133,7 +134,7 @@ def normalize_column(text: Column, options: NormalizeOptions | None = None) -> C
         string = normalizer(o).string
         return pa.array([None if t is None else string(t) for t in texts.to_pylist()], pa.string())
 
-    return run(text)
+    return (run.asNondeterministic() if pinned else run)(text)
 
 
 def fold_column(text: Column, options: NormalizeOptions | None = None, fuzzy: FuzzyOptions | None = None) -> Column:

@@ -20,7 +20,7 @@ CONFIG = "source_path string, category string, display_name string, severity str
 BOM = "\ufeff"
 
 
-def _small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame) -> DataFrame:
     """df marked for broadcast if it has at most SMALL rows."""
     return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
 
@@ -93,7 +93,7 @@ def attribute(lines: DataFrame, files: DataFrame, config: DataFrame, default_sev
     Each further file that has it counts as one cross-source duplicate; a file whose category is
     more severe than all before it takes the term over.
     """
-    mapped = files.join(_small(config), "source_path", "left").withColumn("category", F.coalesce("category", T.derive_category_id(F.col("source_path"))))
+    mapped = files.join(small(config), "source_path", "left").withColumn("category", F.coalesce("category", T.derive_category_id(F.col("source_path"))))
     named = mapped.select(
         "file_seq", "source_path", "category",
         F.struct(
@@ -103,7 +103,7 @@ def attribute(lines: DataFrame, files: DataFrame, config: DataFrame, default_sev
     )
     categories = named.groupBy("category").agg(F.min_by("info", "file_seq").alias("info")).select(F.col("category").alias("id"), "info.*").drop("file_seq")
     owners = named.select("file_seq", "source_path", "category").join(categories.select(F.col("id").alias("category"), F.col("severity").alias("category_severity")), "category")
-    owners = _small(owners.withColumn("rank", T.severity_rank(F.col("category_severity"))))
+    owners = small(owners.withColumn("rank", T.severity_rank(F.col("category_severity"))))
     # One row for each term and file, then one for each term; numbers alone go through the aggregates.
     per_file = lines.groupBy("term", "file_seq").agg(F.min("line_no").alias("line_no"), F.count("*").alias("n"))
     per_file = per_file.join(owners.select("file_seq", "rank", "source_path"), "file_seq")
@@ -122,8 +122,8 @@ def attribute(lines: DataFrame, files: DataFrame, config: DataFrame, default_sev
     owner = owners.select(F.col("file_seq").alias("owner"), "category", F.col("category_severity").alias("severity"), "source_path")
     first = owners.select("file_seq", F.col("source_path").alias("first_path"))
     grouped = numbered.join(owner, "owner").join(first, "file_seq")
-    # Normal forms and flags depend on the term alone: they are worked out once for each.
-    known = grouped.withColumn("normalized", normalize_column(F.col("term"))).withColumn("issues", T.inspect_term(F.col("term"), F.col("normalized")))
+    # Normal forms and flags depend on the term alone: they are worked out once for each, so filters on them stay above the aggregates.
+    known = grouped.withColumn("normalized", normalize_column(F.col("term"), pinned=True)).withColumn("issues", T.inspect_term(F.col("term"), F.col("normalized")))
     odd = known.where(F.size("issues") > 0).select("term", "lines", "issues")
     flagged = lines.join(odd.drop("lines"), "term").select("term", "source_path", "file_seq", "line_no", "issues")
     terms = known.where(~T.is_fatal(F.col("issues"))).select(
